@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_automaton, embedding_dedup, fingerprints, jaccard_join, packing, token_output, toxicity
+from . import bpe_automaton, embedding_dedup, fingerprints, jaccard_join, line_dedup, packing, secret_scan, suffix_dedup, token_output, toxicity
 from .pretoken import tokenizer_path
 from .scratch import Scratch
 
@@ -28,10 +29,26 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE), END_ID, 1024)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (line numbers), kept_sha256 of the text that stays (null text: null)."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_candidates, n_secrets, findings (candidate, score), masked_sha256 of the text with secrets replaced (null text: null)."""
+    out = secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_candidates", "n_secrets", "findings", F.sha2("text", 256).alias("masked_sha256"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 200)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -49,5 +66,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_packing, op5_embedding_dedup, op7_toxicity, op8_bpe_automaton, op9_jaccard_join, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_packing, op3_line_dedup, op4_secret_scan, op5_embedding_dedup, op6_suffix_dedup, op7_toxicity, op8_bpe_automaton, op9_jaccard_join, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
