@@ -20,21 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretoken import Encoder, tokenizer_content
+from .pretoken import Encoder, byte_alphabet, tokenizer_content
 
 LONGEST_WORD = 64
 
 
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies: itself if printable, else the next from U+0100."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    out, spare = [], 256
-    for b in range(256):
-        out.append(chr(b if b in plain else spare))
-        spare += b not in plain
-    return out
-
-
 class Merger:
     """Exact BPE of one pre-tokenised piece: always merges the pair of lowest rank, the leftmost among equals."""
 
@@ -163,7 +153,8 @@ class Automaton:
 class WordCodec:
     """Encodes and decodes whole texts; ``decode`` joins tokens with a space, as the library does for a file without a decoder."""
 
-    CACHE = 300_000
+    #: Words in each of the cache's two generations.
+    CACHE = 150_000
 
     def __init__(self, content: str, compiled: bytes):
         self.encoder = Encoder(content)
@@ -171,14 +162,19 @@ class WordCodec:
         self.merger, self.automaton = Merger(model), Automaton(compiled)
         self.token = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in json.loads(content)["added_tokens"]}
         self.cache: dict[str, tuple[str, str, list[int]]] = {}
+        self.old: dict[str, tuple[str, str, list[int]]] = {}
 
     def _word(self, word: str) -> tuple[str, str, list[int]]:
         if len(self.cache) >= self.CACHE:
+            self.old = dict(self.cache)
             self.cache.clear()
-        ids = self.automaton.ids(word)
-        if ids is None:
-            ids = self.merger.ids(word)
-        self.cache[word] = out = (" ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)), ids)
+        out = self.old.get(word)
+        if out is None:
+            ids = self.automaton.ids(word)
+            if ids is None:
+                ids = self.merger.ids(word)
+            out = (" ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)), ids)
+        self.cache[word] = out
         return out
 
     def encode(self, text: str | None) -> list[int]:

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import unicodedata
 from struct import pack
 
 from tokenizers import Tokenizer
 
 #: Below this code point the classes of both regex engines agree (tests/llm/test_tokens.py compares them).
-LATIN = 0x250
-CACHE = 400_000
+LATIN = 0x180
+#: Pieces in each of the cache's two generations.
+CACHE = 250_000
 
 
 def _chars(kind: str) -> str:
@@ -39,6 +39,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.word_ends = spec["model"].get("end_of_word_suffix") is not None
         self.split = (WORDS if self.word_ends else BYTES).findall
@@ -56,6 +57,10 @@ class Encoder:
             text = text.lower()
         return self.split(text)
 
+    def piece_ids(self, piece: str) -> list[int]:
+        """ids of one piece, by the library's BPE model without its normaliser and pre-tokeniser."""
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))]
+
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -71,17 +76,36 @@ class Encoder:
 
 
 class _Cache(dict):
+    """Packed ids by piece. When it is full it becomes the old generation, from which pieces still in use come back."""
+
     def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            found = self.encoder.piece_ids(piece)
+            out = pack(f"<{len(found)}I", *found)
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        found = self.encoder.ids(piece)
-        self[sys.intern(piece)] = out = pack(f"<{len(found)}I", *found)
+        self[piece] = out
         return out
 
 
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself if printable, else the next from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, spare = [], 256
+    for b in range(256):
+        out.append(chr(b if b in plain else spare))
+        spare += b not in plain
+    return out
+
+
+_ALPHABET = dict(enumerate(byte_alphabet()))
+
+
 def tokenizer_content(path: str) -> str:
     """A tokenizer file's text, read on the driver; of fixed size (under 2 MB), so tasks get it as a broadcast."""
     with open(path, encoding="utf-8") as f:
