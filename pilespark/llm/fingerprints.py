@@ -174,7 +174,7 @@ def near_documents(docs: DataFrame, least: float = 0.8, band: int = 8, id_column
     star = keys.join(firsts, ["band", "bits"]).where("node <> f.node").select(F.col("f.node").alias("u"), F.col("f.fingerprint").alias("a_print"), F.col("node").alias("v"), F.col("fingerprint").alias("b_print")).distinct()
     linked = scratch.write(star.where(equal >= least * SLOTS).select("u", "v"), "star")
     roots = components(scratch, linked, "first")
-    apart = keys.join(firsts.select("band", "bits"), ["band", "bits"]).join(roots, F.col("node") == roots["node"], "left").select("band", "bits", keys["node"], "fingerprint", F.coalesce("root", keys["node"]).alias("root"))
+    apart = keys.join(firsts.select("band", "bits"), ["band", "bits"]).join(roots, "node", "left").select("band", "bits", "node", "fingerprint", F.coalesce("root", "node").alias("root"))
     mixed = apart.groupBy("band", "bits").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "bits")
     some = apart.join(mixed, ["band", "bits"])
     left, right = some.selectExpr("band", "bits", "node AS u", "fingerprint AS a_print", "root AS ru"), some.selectExpr("band", "bits", "node AS v", "fingerprint AS b_print", "root AS rv")

@@ -98,11 +98,11 @@ class Scorer:
         self.cache: dict[str, int] = {}
 
     def kind(self, word: str) -> int:
-        """2: a term; 1: a misspelled one; 0: neither. Words of 5 letters and more may be an edit away, of 9 and more two."""
+        """2: a term; 1: a misspelled one; 0: neither. Words of 5 letters and more may be an edit away, of 8 and more two."""
         got = self.cache.get(word)
         if got is None:
             plain = word.translate(SWAPS)
-            got = 2 if self.exact.exact(word) else 1 if plain != word and self.exact.exact(plain) or len(word) >= 5 and self.fuzzy.within(plain, 1 + (len(word) >= 9)) else 0
+            got = 2 if self.exact.exact(word) else 1 if plain != word and self.exact.exact(plain) or len(word) >= 5 and self.fuzzy.within(plain, 1 + (len(word) >= 8)) else 0
             if len(self.cache) >= self.CACHE:
                 self.cache.clear()
             self.cache[word] = got
