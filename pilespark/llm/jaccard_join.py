@@ -181,12 +181,11 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
 
     met = scratch.write(rows.mapInArrow(show, "key long, cls long").repartition("key").sortWithinPartitions("key", "cls").mapInArrow(runs, "key long, first long, cls long"), "met")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs (u, v) of sets those that link, as (u, v) of their least doc_ids."""
-        side = lambda p, q: sets.select(*[F.col(c).alias(p + c) for c in sets.columns if c != "cls"], F.col("cls").alias(q))
-        distance = sum(F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in ("s0", "s1", "s2", "s3"))
-        near = pairs.join(side("a", "u"), "u").join(side("b", "v"), "v").where(f"{den} * least(an, bn) >= {num} * greatest(an, bn)").where(distance * (den + num) <= (F.col("an") + F.col("bn")) * (den - num))
-        near = scratch.write(near.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv")), name)
+    distance = sum(F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in ("s0", "s1", "s2", "s3"))
+    may_link = F.expr(f"{den} * least(an, bn) >= {num} * greatest(an, bn)") & (distance * (den + num) <= (F.col("an") + F.col("bn")) * (den - num))
+
+    def verified(near: DataFrame, name: str) -> DataFrame:
+        """Of pairs (u, v, ru, rv) of sets and their least doc_ids those that link, as the ids (u, v)."""
         bit = F.pmod(F.col("cls"), F.lit(FILTER_BITS)) + 1
         wanted = near.selectExpr("explode(array(u, v)) AS cls")
         maps = wanted.groupBy(F.expr(f"bitmap_bucket_number(pmod(cls, {FILTER_BITS}L) + 1)").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # FILTER_BITS bits
@@ -213,21 +212,38 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), _signed(flat))], names=["rep", "cls", "h"])
 
         need = near.selectExpr("explode(array(struct(u AS cls, ru AS rep), struct(v AS cls, rv AS rep))) AS x").select("x.*").distinct()
-        known = rows.mapInArrow(pick, "rep long, cls long, h array<long>").join(need, ["cls", "rep"]).select("cls", "h")
+        known = scratch.write(rows.mapInArrow(pick, "rep long, cls long, h array<long>").join(need, ["cls", "rep"]).select("cls", "h"), f"{name}_sets")
         both = near.join(known.selectExpr("cls AS u", "h AS a"), "u").join(known.selectExpr("cls AS v", "h AS b"), "v")
         common = both.select("ru", "rv", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("s"))
         return common.where(f"{den} * i >= {num} * (s - i)").selectExpr("ru AS u", "rv AS v").distinct()
 
-    star = scratch.write(verified(met.selectExpr("first AS u", "cls AS v").distinct(), "near"), "star")
-    roots = components(scratch, star)
+    sized = lambda p, q: sets.select(*[F.col(c).alias(p + c) for c in sets.columns if c not in ("cls", "more")], F.col("cls").alias(q))
+    star = met.selectExpr("first AS u", "cls AS v").distinct().join(sized("a", "u"), "u").join(sized("b", "v"), "v").where(may_link)
+    star = scratch.write(star.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv")), "star")
+    # A set meets a first set under each of its keys; comparing it with one of them mostly joins it to its group.
+    once = scratch.write(star.groupBy("v").agg(F.min(F.struct("u", "ru", "rv")).alias("x")).select("v", "x.u", "x.ru", "x.rv"), "once")
+    linked = scratch.write(verified(once, "once"), "linked")
+    scratch.drop("once_sets")
+    roots = components(scratch, linked)
+    root_of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
+    left_over = star.join(once.select("u", "v"), ["u", "v"], "left_anti").join(root_of("ru", "x"), "ru", "left").join(root_of("rv", "y"), "rv", "left")
+    left_over = left_over.where("coalesce(x, ru) <> coalesce(y, rv)").select("u", "v", "ru", "rv")
     # Sets that meet under a key and are still apart after that: all their pairs but those with the key's first set, which are done.
-    members = met.select("key", "first", "cls").union(met.selectExpr("key", "first", "first").distinct())
-    placed = members.join(sets.select("cls", "rep"), "cls").join(roots, F.col("rep") == F.col("node"), "left").select("key", "first", "cls", F.coalesce("root", "rep").alias("root"))
-    mixed = placed.where("cls <> first").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    apart = scratch.write(placed.where("cls <> first").join(mixed, "key"), "apart")
-    pairs = apart.selectExpr("key", "cls AS u", "root AS ra").join(apart.selectExpr("key", "cls AS v", "root AS rb"), "key").where("u < v AND ra <> rb").select("u", "v").distinct()
-    more = scratch.write(verified(pairs, "near2"), "more")
+    placed_sets = scratch.write(sets.select("cls", "rep", "n", "s0", "s1", "s2", "s3").join(root_of("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed_sets")
+    # Rows stay narrow until it is known which keys hold sets of several groups.
+    placed = scratch.write(met.select("key", "cls").join(placed_sets.select("cls", "root"), "cls"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    apart = scratch.write(placed.join(mixed, "key").select("key", "cls").join(placed_sets, "cls"), "apart")
+    scratch.drop("placed", "met")
+    # Two folded words of the sketch, themselves parities, are enough to keep unlike sets of a key apart; whole sketches follow.
+    side = lambda p, q: apart.select("key", F.col("cls").alias(q), F.col("root").alias(p + "root"), F.col("n").alias(p + "n"), F.expr("s0 ^ s2").alias(p + "f0"), F.expr("s1 ^ s3").alias(p + "f1"))
+    folded = F.expr(f"{den} * least(an, bn) >= {num} * greatest(an, bn) AND (bit_count(af0 ^ bf0) + bit_count(af1 ^ bf1)) * {den + num} <= (an + bn) * {den - num}")
+    pairs = side("a", "u").join(side("b", "v").withColumnRenamed("key", "other"), (F.col("key") == F.col("other")) & F.expr("u < v AND aroot <> broot") & folded).select("u", "v").distinct()
+    pairs = pairs.join(sized("a", "u"), "u").join(sized("b", "v"), "v").where(may_link).select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv"))
+    rest = scratch.write(pairs.union(left_over).distinct(), "rest")
+    more = scratch.write(verified(rest, "rest"), "more")
+    scratch.drop("rest_sets", "apart")
     if not more.isEmpty():
-        roots = components(scratch, star.union(more), "cc2_")
+        roots = components(scratch, linked.union(more), "cc2_")
     nodes = described.join(sets.select("n", "cls", "more", "rep"), ["n", "cls", "more"], "left").select("doc_id", "n", "rep")
     return nodes.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
