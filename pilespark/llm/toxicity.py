@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -51,19 +52,73 @@ class Trie:
                 return False
         return "" in at
 
+
+def _marks(word: str) -> tuple[int, int]:
+    """Bit sets of a word's letters and of its pairs of neighbours."""
+    letters = pairs = last = 0
+    for ch in word:
+        c = ord(ch)
+        letters |= 1 << (c & 31)
+        if last:
+            pairs |= 1 << ((last * 37 + c) & 63)
+        last = c
+    return letters, pairs
+
+
+class Lexicon:
+    """Whole-word terms in a trie; a node knows the range of the sorted terms below it."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = sorted(set(terms))
+        self.sizes = np.array([len(t) for t in self.terms], np.int64)
+        marks = np.array([_marks(t) for t in self.terms], np.uint64).reshape(-1, 2)
+        self.letters, self.pairs = marks[:, 0].copy(), marks[:, 1].copy()
+        self.near: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.root = self._node(0, len(self.terms), 0)
+
+    def _node(self, low: int, high: int, depth: int) -> tuple[int, int, bool, dict]:
+        ends = low < high and len(self.terms[low]) == depth
+        to, at = {}, low + ends
+        while at < high:
+            ch, start = self.terms[at][depth], at
+            while at < high and self.terms[at][depth] == ch:
+                at += 1
+            to[ch] = self._node(start, at, depth + 1)
+        return low, high, ends, to
+
+    def candidates(self, word: str, edits: int) -> list[int]:
+        """Numbers of the terms that can be within ``edits``; none that is gets lost.
+
+        An edit changes the length by one at most, puts in or takes out one letter at most, and breaks and makes three pairs at most.
+        """
+        found = self.near.get((len(word), edits))
+        if found is None:
+            at = np.flatnonzero(np.abs(self.sizes - len(word)) <= edits)
+            found = self.near[len(word), edits] = at, self.letters[at], self.pairs[at]
+        at, letters, pairs = found
+        mine, joined = map(np.uint64, _marks(word))
+        hit = np.flatnonzero((np.bitwise_count(letters & ~mine) <= edits) & (np.bitwise_count(mine & ~letters) <= edits))
+        if len(hit):
+            pairs = pairs[hit]
+            hit = hit[(np.bitwise_count(pairs & ~joined) <= 3 * edits) & (np.bitwise_count(joined & ~pairs) <= 3 * edits)]
+        return at[hit].tolist()
+
     def within(self, word: str, edits: int) -> bool:
-        """Whether a whole-word term, or a stem as the word's beginning, is within ``edits`` (a swap of neighbours is one edit).
+        """Whether a term is within ``edits`` (a swap of neighbours is one edit).
 
-        The automaton's state is the band of edit counts for the word's prefixes; branches whose counts all exceed ``edits`` end.
+        The automaton's state is the row of edit counts for the word's prefixes; branches whose counts all exceed ``edits``, or that lead to no candidate, end.
         """
-        n = len(word)
+        wanted, n = self.candidates(word, edits), len(word)
+        if not wanted:
+            return False
         stack = [(self.root, list(range(n + 1)), None, "")]
         while stack:
-            at, row, above, last = stack.pop()
-            for ch, to in at.items():
-                if ch == "":
-                    if row[n] <= edits if to == "word" else min(row[1:], default=edits + 1) <= edits and n > 5:
-                        return True
+            (_, _, ends, to), row, above, last = stack.pop()
+            if ends and row[n] <= edits:
+                return True
+            for ch, node in to.items():
+                at = bisect_left(wanted, node[0])
+                if at == len(wanted) or wanted[at] >= node[1]:
                     continue
                 new = [row[0] + 1]
                 for i in range(1, n + 1):
@@ -72,7 +127,7 @@ class Trie:
                         cost = min(cost, above[i - 2] + 1)
                     new.append(cost)
                 if min(new) <= edits:
-                    stack.append((to, new, row, ch))
+                    stack.append((node, new, row, ch))
         return False
 
 
@@ -88,11 +143,10 @@ class Scorer:
     CACHE = 300_000
 
     def __init__(self, model: Model):
-        self.model, self.exact, self.fuzzy = model, Trie(), Trie()
+        self.model, self.exact = model, Trie()
         for w in model.words:
             self.exact.add(w, "word")
-            if len(w) >= 5:
-                self.fuzzy.add(w, "word")
+        self.fuzzy = Lexicon([w for w in model.words if len(w) >= 5])
         for s in model.stems:
             self.exact.add(s, "stem")
         self.cache: dict[str, int] = {}
