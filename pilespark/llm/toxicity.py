@@ -11,8 +11,9 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,27 +54,36 @@ class Trie:
         return "" in at
 
 
-def _marks(word: str) -> tuple[int, int]:
-    """Bit sets of a word's letters and of its pairs of neighbours."""
-    letters = pairs = last = 0
-    for ch in word:
-        c = ord(ch)
-        letters |= 1 << (c & 31)
-        if last:
-            pairs |= 1 << ((last * 37 + c) & 63)
-        last = c
-    return letters, pairs
+def _codes(words: list[str], n: int) -> np.ndarray:
+    """Code points of words of n letters, one row a word."""
+    return np.array(words, f"U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
+
+
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """Bit sets of the letters of each row, and above them of those that occur twice."""
+    once = twice = np.zeros(len(codes), np.uint64)
+    for column in codes.T:
+        bit = np.uint64(1) << (column & np.uint64(31))
+        once, twice = once | bit, twice | (once & bit)
+    return once | twice << np.uint64(32)
+
+
+def _pairs(codes: np.ndarray) -> np.ndarray:
+    """Bit sets of the pairs of neighbours of each row."""
+    bits = np.uint64(1) << ((codes[:, :-1] * np.uint64(37) + codes[:, 1:]) & np.uint64(63))
+    return np.bitwise_or.reduce(bits, axis=1)
 
 
 class Lexicon:
     """Whole-word terms in a trie; a node knows the range of the sorted terms below it."""
 
+    #: Letters at a word's either end whose partners lie at the same end.
+    END = 4
+    ROWS = 2048
+
     def __init__(self, terms: list[str]):
         self.terms = sorted(set(terms))
-        self.sizes = np.array([len(t) for t in self.terms], np.int64)
-        marks = np.array([_marks(t) for t in self.terms], np.uint64).reshape(-1, 2)
-        self.letters, self.pairs = marks[:, 0].copy(), marks[:, 1].copy()
-        self.near: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.near: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
         self.root = self._node(0, len(self.terms), 0)
 
     def _node(self, low: int, high: int, depth: int) -> tuple[int, int, bool, dict]:
@@ -86,48 +96,74 @@ class Lexicon:
             to[ch] = self._node(start, at, depth + 1)
         return low, high, ends, to
 
-    def candidates(self, word: str, edits: int) -> list[int]:
-        """Numbers of the terms that can be within ``edits``; none that is gets lost.
+    def _marks(self, codes: np.ndarray, edits: int) -> np.ndarray:
+        """A row for each kind of bit set: letters, pairs, and letters of the ends, narrow and wide."""
+        narrow, wide = self.END, self.END + edits
+        ends = (codes[:, :narrow], codes[:, :wide], codes[:, -narrow:], codes[:, -wide:])
+        return np.stack([_letters(codes), _pairs(codes), *map(_letters, ends)])
+
+    def _terms_near(self, n: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and marks of the terms whose length an edited word of n letters can have."""
+        got = self.near.get((n, edits))
+        if got is None:
+            at, marks = [np.zeros(0, np.int64)], [np.zeros((6, 0), np.uint64)]
+            for size in range(max(2, n - edits), n + edits + 1):
+                some = [i for i, t in enumerate(self.terms) if len(t) == size]
+                if some:
+                    at.append(np.array(some))
+                    marks.append(self._marks(_codes([self.terms[i] for i in some], size), edits))
+            order = np.argsort(np.concatenate(at), kind="stable")
+            got = self.near[n, edits] = np.concatenate(at)[order], np.concatenate(marks, axis=1)[:, order]
+        return got
+
+    def candidates(self, words: list[str], edits: int) -> dict[str, list[int]]:
+        """Of words of one length (2 at least) the numbers of the terms that can be within ``edits``; none that is gets lost.
 
-        An edit changes the length by one at most, puts in or takes out one letter at most, and breaks and makes three pairs at most.
+        An edit changes the length by one at most, puts in or takes out one letter at most, breaks and makes three pairs at most, and
+        moves a letter by one place at most.
         """
-        found = self.near.get((len(word), edits))
-        if found is None:
-            at = np.flatnonzero(np.abs(self.sizes - len(word)) <= edits)
-            found = self.near[len(word), edits] = at, self.letters[at], self.pairs[at]
-        at, letters, pairs = found
-        mine, joined = map(np.uint64, _marks(word))
-        hit = np.flatnonzero((np.bitwise_count(letters & ~mine) <= edits) & (np.bitwise_count(mine & ~letters) <= edits))
-        if len(hit):
-            pairs = pairs[hit]
-            hit = hit[(np.bitwise_count(pairs & ~joined) <= 3 * edits) & (np.bitwise_count(joined & ~pairs) <= 3 * edits)]
-        return at[hit].tolist()
-
-    def within(self, word: str, edits: int) -> bool:
-        """Whether a term is within ``edits`` (a swap of neighbours is one edit).
-
-        The automaton's state is the row of edit counts for the word's prefixes; branches whose counts all exceed ``edits``, or that lead to no candidate, end.
+        out: dict[str, list[int]] = {}
+        at, theirs = self._terms_near(len(words[0]), edits)
+        for start in range(0, len(words), self.ROWS):
+            few = words[start : start + self.ROWS]
+            mine = self._marks(_codes(few, len(few[0])), edits)
+            lacks = lambda x, y, most: np.bitwise_count(x & ~y) <= most
+            i, j = np.nonzero(lacks(theirs[0][None, :], mine[0][:, None], edits) & lacks(mine[0][:, None], theirs[0][None, :], edits))
+            for x, y, most in ((1, 1, 3 * edits), (2, 3, edits), (4, 5, edits)):
+                keep = lacks(theirs[x, j], mine[y, i], most) & lacks(mine[x, i], theirs[y, j], most)
+                i, j = i[keep], j[keep]
+            for word, term in zip(i.tolist(), at[j].tolist()):
+                out.setdefault(few[word], []).append(term)
+        return out
+
+    def within(self, word: str, edits: int, wanted: list[int]) -> bool:
+        """Whether one of the terms ``wanted`` (ascending numbers) is within ``edits``, 1 or 2 (a swap of neighbours is one edit).
+
+        The automaton's states are three bit sets: prefixes of the word reached with no, one and two edits. They run down the trie;
+        branches with no state left, or that lead to no wanted term, end.
         """
-        wanted, n = self.candidates(word, edits), len(word)
-        if not wanted:
-            return False
-        stack = [(self.root, list(range(n + 1)), None, "")]
+        places: dict[str, int] = {}
+        for i, ch in enumerate(word):
+            places[ch] = places.get(ch, 0) | 2 << i
+        full = (2 << len(word)) - 1
+        accept = 1 << len(word)
+        two = full if edits > 1 else 0
+        stack = [(self.root, 1, 3 & full, 7 & two, 0, 0, 0)]
         while stack:
-            (_, _, ends, to), row, above, last = stack.pop()
-            if ends and row[n] <= edits:
+            (_, _, ends, to), r0, r1, r2, p0, p1, before = stack.pop()
+            if ends and (r0 | r1 | r2) & accept:
                 return True
             for ch, node in to.items():
                 at = bisect_left(wanted, node[0])
                 if at == len(wanted) or wanted[at] >= node[1]:
                     continue
-                new = [row[0] + 1]
-                for i in range(1, n + 1):
-                    cost = min(new[i - 1] + 1, row[i] + 1, row[i - 1] + (word[i - 1] != ch))
-                    if above is not None and i > 1 and word[i - 1] == last and word[i - 2] == ch:
-                        cost = min(cost, above[i - 2] + 1)
-                    new.append(cost)
-                if min(new) <= edits:
-                    stack.append((node, new, row, ch))
+                c = places.get(ch, 0)
+                swap = c << 1 & before
+                n0 = r0 << 1 & c
+                n1 = (r1 << 1 & c | r0 | r0 << 1 | n0 << 1 | p0 << 2 & swap) & full
+                n2 = (r2 << 1 & c | r1 | r1 << 1 | n1 << 1 | p1 << 2 & swap) & two
+                if n0 | n1 | n2:
+                    stack.append((node, n0, n1, n2, r0, r1, c))
         return False
 
 
@@ -140,7 +176,8 @@ class Model:
 
 
 class Scorer:
-    CACHE = 300_000
+    #: Words after which the cache starts anew, and texts looked up together.
+    CACHE, TEXTS = 300_000, 256
 
     def __init__(self, model: Model):
         self.model, self.exact = model, Trie()
@@ -151,21 +188,32 @@ class Scorer:
             self.exact.add(s, "stem")
         self.cache: dict[str, int] = {}
 
-    def kind(self, word: str) -> int:
-        """2: a term; 1: a misspelled one; 0: neither. Words of 5 letters and more may be an edit away, of 8 and more two."""
-        got = self.cache.get(word)
-        if got is None:
+    def learn(self, words: Iterable[str]) -> None:
+        """Puts words into the cache. 2: a term; 1: a misspelled one; 0: neither. Words of 5 letters and more may be an edit away, of 8 and more two."""
+        if len(self.cache) >= self.CACHE:
+            self.cache.clear()
+        by_size: dict[int, dict[str, list[str]]] = {}
+        for word in set(words).difference(self.cache):
             plain = word.translate(SWAPS)
-            got = 2 if self.exact.exact(word) else 1 if plain != word and self.exact.exact(plain) or len(word) >= 5 and self.fuzzy.within(plain, 1 + (len(word) >= 8)) else 0
-            if len(self.cache) >= self.CACHE:
-                self.cache.clear()
-            self.cache[word] = got
-        return got
-
-    def features(self, text: str | None) -> list[float]:
-        low = (text or "").lower()
-        words = TOKEN.findall(low)
-        kinds = list(map(self.kind, words))
+            self.cache[word] = 2 if self.exact.exact(word) else int(plain != word and self.exact.exact(plain))
+            if not self.cache[word] and len(word) >= 5:
+                by_size.setdefault(len(plain), {}).setdefault(plain, []).append(word)
+        for n, group in by_size.items():
+            edits = 1 + (n >= 8)
+            for plain, wanted in self.fuzzy.candidates(list(group), edits).items():
+                if self.fuzzy.within(plain, edits, wanted):
+                    self.cache.update(dict.fromkeys(group[plain], 1))
+
+    def features(self, texts: Sequence[str | None]) -> Iterator[list[float]]:
+        """Of each text: bias, abusive exact, abusive misspelled and quoted hits, hits per hundred words."""
+        for at in range(0, len(texts), self.TEXTS):
+            lows = [(t or "").lower() for t in texts[at : at + self.TEXTS]]
+            words = [TOKEN.findall(low) for low in lows]
+            self.learn(chain.from_iterable(words))
+            yield from map(self._features, lows, words)
+
+    def _features(self, low: str, words: list[str]) -> list[float]:
+        kinds = list(map(self.cache.__getitem__, words))
         if not any(kinds):
             return [1.0, 0.0, 0.0, 0.0, 0.0]
         exact = fuzzy = quoted = 0.0
@@ -185,9 +233,9 @@ class Scorer:
         z = -2.0 + 2.5 * (len(left) % 2 == 1 and bool(right)) + 1.5 * any(w in REPORTING for w in before) - 1.5 * any(w in ADDRESS for w in (*before, *after))
         return 1 / (1 + math.exp(-z))
 
-    def score(self, text: str | None) -> float:
-        z = sum(w * x for w, x in zip(self.model.weights, self.features(text)))
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+    def scores(self, texts: Sequence[str | None]) -> list[float]:
+        sums = (sum(w * x for w, x in zip(self.model.weights, row)) for row in self.features(texts))
+        return [1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) for z in sums]
 
 
 def learnable(doc_id: str = "doc_id") -> F.Column:
@@ -249,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int =
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            x = [scorer.features(t) for t in b.column(1).to_pylist()]
+            x = list(scorer.features(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
     seen = known.mapInArrow(measure, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count("*").alias("n")).collect()
@@ -266,7 +314,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), threshold:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            yield b.append_column("score", pa.array([scorer.score(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.float64()))
+            yield b.append_column("score", pa.array(scorer.scores(b.column(b.schema.get_field_index("text")).to_pylist()), pa.float64()))
 
     wanted = list(dict.fromkeys(["doc_id", "text", *keep]))
     given = docs.select(*wanted)
