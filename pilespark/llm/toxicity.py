@@ -204,6 +204,10 @@ class Scorer:
                 if self.fuzzy.within(plain, edits, wanted):
                     self.cache.update(dict.fromkeys(group[plain], 1))
 
+    def kind(self, word: str) -> int:
+        self.learn([word])
+        return self.cache[word]
+
     def features(self, texts: Sequence[str | None]) -> Iterator[list[float]]:
         """Of each text: bias, abusive exact, abusive misspelled and quoted hits, hits per hundred words."""
         for at in range(0, len(texts), self.TEXTS):
@@ -233,6 +237,9 @@ class Scorer:
         z = -2.0 + 2.5 * (len(left) % 2 == 1 and bool(right)) + 1.5 * any(w in REPORTING for w in before) - 1.5 * any(w in ADDRESS for w in (*before, *after))
         return 1 / (1 + math.exp(-z))
 
+    def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
+
     def scores(self, texts: Sequence[str | None]) -> list[float]:
         sums = (sum(w * x for w, x in zip(self.model.weights, row)) for row in self.features(texts))
         return [1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) for z in sums]

@@ -273,3 +273,28 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprints.edited_report(empty).count() == 0
     grouped = {r["doc_id"]: r["component_id"] for r in fingerprints.near_documents(docs.where(F.col("doc_id").between(6, 12))).collect()}
     assert grouped[11] == grouped[12] == grouped[8] and grouped[7] == 7
+
+
+def test_lexicon_loses_no_term():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeß") for _ in range(rng.randint(5, 11)))
+
+    def distance(a, b):
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(b, 1):
+                swapped = rows[i - 2][j - 2] + 1 if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] else 99
+                rows[i].append(min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y), swapped))
+        return rows[-1][-1]
+
+    terms, words = sorted({word() for _ in range(60)}), {word() for _ in range(300)}
+    for t in terms:  # words near a term
+        i = rng.randrange(len(t) - 1)
+        words |= {t[:i] + t[i + 1 :], t[:i] + t[i + 1] + t[i] + t[i + 2 :], t[:i] + "x" + t[i:] + "y", t}
+    lexicon = toxicity.Lexicon(terms)
+    for n in {len(w) for w in words}:
+        few = sorted(w for w in words if len(w) == n)
+        for edits in (1, 2):
+            found = lexicon.candidates(few, edits)
+            assert [w in found and lexicon.within(w, edits, found[w]) for w in few] == [any(distance(w, t) <= edits for t in terms) for w in few]
