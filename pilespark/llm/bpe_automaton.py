@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretoken import Encoder, byte_alphabet, tokenizer_content
+from .scratch import Scratch
 
 LONGEST_WORD = 64
 
@@ -39,6 +40,8 @@ class Merger:
         if not symbols:
             return []
         symbols[-1] += self.suffix
+        if len(symbols) <= LONGEST_WORD:
+            return self._short(symbols)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := self.rank.get((symbols[i], symbols[i + 1]))) is not None]
@@ -58,6 +61,20 @@ class Merger:
                     heapq.heappush(heap, (r, p, symbols[p], symbols[q]))
         return [self.vocab[s] for s in symbols if s is not None]
 
+    def _short(self, symbols: list[str]) -> list[int]:
+        """The same for few symbols: the least of the neighbours' ranks, looked for anew after each merge, is cheaper than a heap."""
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), none)
+        return [self.vocab[s] for s in symbols]
+
 
 def compile_lexicon(lexicon: dict[str, list[int]]) -> bytes:
     """A minimal acyclic automaton over the words, numbering them in sorted order, followed by their ids.
@@ -154,17 +171,17 @@ class WordCodec:
     """Encodes and decodes whole texts; ``decode`` joins tokens with a space, as the library does for a file without a decoder."""
 
     #: Words in each of the cache's two generations.
-    CACHE = 150_000
+    CACHE = 200_000
 
     def __init__(self, content: str, compiled: bytes):
         self.encoder = Encoder(content)
         model = json.loads(content)["model"]
         self.merger, self.automaton = Merger(model), Automaton(compiled)
         self.token = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in json.loads(content)["added_tokens"]}
-        self.cache: dict[str, tuple[str, str, list[int]]] = {}
-        self.old: dict[str, tuple[str, str, list[int]]] = {}
+        self.cache: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
 
-    def _word(self, word: str) -> tuple[str, str, list[int]]:
+    def _word(self, word: str) -> tuple[str, str]:
         if len(self.cache) >= self.CACHE:
             self.old = dict(self.cache)
             self.cache.clear()
@@ -173,13 +190,12 @@ class WordCodec:
             ids = self.automaton.ids(word)
             if ids is None:
                 ids = self.merger.ids(word)
-            out = (" ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)), ids)
+            out = (" ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)))
         self.cache[word] = out
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        pieces = self.encoder.pieces(text or "")
-        return self.encoder.ids(text) if pieces is None else [i for p in pieces for i in (self.cache.get(p) or self._word(p))[2]]
+        return list(map(int, self.both(text)[0].split()))
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.token.__getitem__, ids))
@@ -196,7 +212,10 @@ class WordCodec:
 
 
 def frequent_words(docs: DataFrame, content: str, size: int, text_column: str = "text") -> list[str]:
-    """The ``size`` most frequent pre-tokenised words over all documents; only these reach the driver."""
+    """The most frequent pre-tokenised words over all documents, at most ``size``; only these reach the driver.
+
+    Words are taken by classes of counts, a sixteenth of a doubling wide, from the top as long as whole classes fit; a word that occurs once is not frequent.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +230,15 @@ def frequent_words(docs: DataFrame, content: str, size: int, text_column: str =
         yield flush()
 
     counts = docs.select(F.col(text_column).alias("text")).mapInArrow(count, "word string, n long").where(F.length("word") <= LONGEST_WORD)
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r["word"] for r in top.collect()]
+    totals = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").select("word", F.floor(16 * F.log2("n")).alias("class"))
+    totals = Scratch(docs.sparkSession, "words").write(totals, "totals")
+    least, taken = None, 0
+    for row in totals.groupBy("class").agg(F.count("*").alias("words")).orderBy(F.desc("class")).collect():  # 1,008 classes at most
+        taken += row["words"]
+        if taken > size:
+            break
+        least = row["class"]
+    return [] if least is None else [r["word"] for r in totals.where(F.col("class") >= least).select("word").collect()]
 
 
 def digest(docs: DataFrame, tokenizer: str, lexicon_size: int = 50_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
