@@ -19,6 +19,8 @@ from .scratch import Scratch, components
 
 #: Vectors of one comparison task; larger buckets are split into blocks of it, and each pair of blocks is a cell of its own.
 BLOCK = 512
+#: Pairs whose keys and vectors a comparison task gathers at once.
+PAIRS = 20_000
 CONFIDENCE = 4.0
 
 
@@ -110,13 +112,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
             if not left:
                 continue
             a, b = np.concatenate(left), np.concatenate(right)
-            # A pair counts in the first band that it shares.
-            same = keys[a] == keys[b]
-            first = same.argmax(1) == band[a]
-            a, b = a[first], b[first]
-            if not len(a):
+            close = []
+            for start in range(0, len(a), PAIRS):
+                p, q = a[start : start + PAIRS], b[start : start + PAIRS]
+                # A pair counts in the first band that it shares.
+                first = (keys[p] == keys[q]).argmax(1) == band[p]
+                close.append(first)
+                first[first] = np.einsum("ij,ij->i", unit[p[first]], unit[q[first]]) >= least
+            if not close:
                 continue
-            close = np.concatenate([np.einsum("ij,ij->i", unit[p], unit[q]) for p, q in zip(np.array_split(a, 1 + len(a) // 100_000), np.array_split(b, 1 + len(a) // 100_000))]) >= least
+            close = np.concatenate(close)
             a, b = a[close], b[close]
             links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
             least_of = rep.copy()
