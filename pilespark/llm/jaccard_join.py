@@ -3,8 +3,8 @@
 Two sets of a and b shingles link when their symmetric difference D is at most (1-t)/(1+t) * (a+b). Shingles are dealt to m blocks by hash and
 each block keeps the XOR of its shingles' hashes: blocks of two sets differ in at most D places, so the others, those that are not
 empty, are equal. Sets are joined on equal blocks, within bands of sizes. A set shows only its rarest D+1 blocks: by the
-prefix-filter argument two linked sets share one of them. Bit sketches (256 parities), whose Hamming distance is at most D, drop
-candidates before the exact comparison.
+prefix-filter argument two linked sets share one of them. Bit sketches (256 parities, and for larger sets as many as the
+size band asks for), whose Hamming distance is at most D, drop candidates before the exact comparison.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ SEEN = 300_000
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the filter that says which sets a comparison may need; false positives cost a few rows, nothing else.
 FILTER_BITS = 1 << 24
+#: Sets from this size on have a second sketch: 256 parities say little of a difference that may be larger.
+WIDE = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,6 +71,14 @@ def _sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((h >> np.uint64(7)) & np.uint64(255), minlength=256) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _wide(h: np.ndarray) -> np.ndarray | None:
+    """Parities of a larger set, as many as its size band asks for; the parities of half as many bits are the XOR of the two halves."""
+    if len(h) < WIDE:
+        return None
+    bits = 1 << len(h).bit_length()
+    return np.packbits((np.bincount((h >> np.uint64(7)) & np.uint64(bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _blocks(h: np.ndarray, band: int) -> np.ndarray:
     """Keys of the non-empty blocks of a set in a band of sizes from 2**band."""
     m = np.uint64(1 << band)
@@ -124,27 +134,28 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        names = ["doc_id", "n", "cls", "more", "s0", "s1", "s2", "s3", "heavy"]
+        names = ["doc_id", "n", "cls", "more", "s0", "s1", "s2", "s3", "heavy", "wide"]
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 few = b.slice(at, 2048)
-                ints, keys, known = np.zeros((7, few.num_rows), np.int64), [], set()
+                ints, keys, known, wide = np.zeros((7, few.num_rows), np.int64), [], set(), [None] * few.num_rows
                 for i, text in enumerate(few.column(1).to_pylist()):
                     h = shingler.set_of(text)
                     ints[0, i] = len(h)
                     if len(h):
                         ints[1:3, i] = cls = _group_of(h)
                         ints[3:, i] = _sketch(h)
+                        wide[i] = _wide(h)
                         if cls not in known:
                             known.add(cls)
                             keys += [_blocks(h, band) for band, _ in _bands(len(h), num, den)]
-                yield pa.RecordBatch.from_arrays([few.column(0), *map(pa.array, ints), pa.nulls(few.num_rows, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([few.column(0), *map(pa.array, ints), pa.nulls(few.num_rows, pa.int64()), pa.array(wide, pa.list_(pa.int64()))], names=names)
                 k, n = np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)]), return_counts=True)
                 often = n >= max(4, len(known) // 256)
-                yield pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), pa.int64()), pa.array(n[often]), _signed(k[often]), *[pa.array(np.zeros(int(often.sum()), np.int64))] * 5, pa.array(np.ones(int(often.sum()), np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), pa.int64()), pa.array(n[often]), _signed(k[often]), *[pa.array(np.zeros(int(often.sum()), np.int64))] * 5, pa.array(np.ones(int(often.sum()), np.int64)), pa.nulls(int(often.sum()), pa.list_(pa.int64()))], names=names)
 
-    found = scratch.write(rows.mapInArrow(describe, "doc_id long, n long, cls long, more long, s0 long, s1 long, s2 long, s3 long, heavy long"), "described")
-    described = found.where("heavy is null")
+    found = scratch.write(rows.mapInArrow(describe, "doc_id long, n long, cls long, more long, s0 long, s1 long, s2 long, s3 long, heavy long, wide array<long>"), "described")
+    described = found.where("heavy is null").drop("wide")
     total = described.count()
     # Keys that one set in 256 has: at most 256 times the mean number of keys of a set, whatever the corpus.
     frequent = found.where("heavy = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // 256)).select("cls").collect()
@@ -217,9 +228,19 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
         common = both.select("ru", "rv", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("s"))
         return common.where(f"{den} * i >= {num} * (s - i)").selectExpr("ru AS u", "rv AS v").distinct()
 
+    wide = found.where("heavy is null AND wide is not null")
+    sketch = lambda p, q: wide.select(F.col("cls").alias(q), F.col("doc_id").alias("r" + q), F.col("n").alias(p + "n"), F.col("wide").alias(p + "w"))
+    half = lambda x: f"if(size({x}) > least(size(aw), size(bw)), zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p ^ q), {x})"
+    apart_bits = f"aggregate(zip_with({half('aw')}, {half('bw')}, (p, q) -> bit_count(p ^ q)), 0, (t, x) -> t + x)"
+
+    def screened(near: DataFrame) -> DataFrame:
+        """Pairs (u, v, ru, rv) without those of larger sets whose wide sketches are too far apart."""
+        both = near.join(sketch("a", "u"), ["u", "ru"], "left").join(sketch("b", "v"), ["v", "rv"], "left")
+        return both.where(f"aw IS NULL OR bw IS NULL OR {apart_bits} * {den + num} <= (an + bn) * {den - num}").select("u", "v", "ru", "rv").distinct()
+
     sized = lambda p, q: sets.select(*[F.col(c).alias(p + c) for c in sets.columns if c not in ("cls", "more")], F.col("cls").alias(q))
     star = met.selectExpr("first AS u", "cls AS v").distinct().join(sized("a", "u"), "u").join(sized("b", "v"), "v").where(may_link)
-    star = scratch.write(star.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv")), "star")
+    star = scratch.write(screened(star.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv"))), "star")
     # A set meets a first set under each of its keys; comparing it with one of them mostly joins it to its group.
     once = scratch.write(star.groupBy("v").agg(F.min(F.struct("u", "ru", "rv")).alias("x")).select("v", "x.u", "x.ru", "x.rv"), "once")
     linked = scratch.write(verified(once, "once"), "linked")
@@ -240,7 +261,8 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
     folded = F.expr(f"{den} * least(an, bn) >= {num} * greatest(an, bn) AND (bit_count(af0 ^ bf0) + bit_count(af1 ^ bf1)) * {den + num} <= (an + bn) * {den - num}")
     pairs = side("a", "u").join(side("b", "v").withColumnRenamed("key", "other"), (F.col("key") == F.col("other")) & F.expr("u < v AND aroot <> broot") & folded).select("u", "v").distinct()
     pairs = pairs.join(sized("a", "u"), "u").join(sized("b", "v"), "v").where(may_link).select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv"))
-    rest = scratch.write(pairs.union(left_over).distinct(), "rest")
+    rest = scratch.write(pairs.union(left_over).distinct(), "rest_pairs")
+    rest = scratch.write(screened(rest), "rest")
     more = scratch.write(verified(rest, "rest"), "more")
     scratch.drop("rest_sets", "apart")
     if not more.isEmpty():
