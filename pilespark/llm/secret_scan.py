@@ -13,10 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Values assigned to names that hold secrets.
-ASSIGNED = r"""(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?["']?\s{0,3}[:=]{1,2}\s{0,3}["']?([^\s"'<>,;]{6,200}+)"""
-#: Strings of a known shape, or long runs of letters and digits.
-SHAPED = r"(?<![A-Za-z0-9+/_=-])(?:-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{0,5000}+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?=[A-Za-z0-9+/_=-]{0,60}[0-9])[A-Za-z0-9+/_=-]{20,400}+)"
+#: Values assigned to names that hold secrets, to their end.
+ASSIGNED = r"""(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?["']?\s{0,3}[:=]{1,2}\s{0,3}["']?([^\s"'<>,;]{6,}+)"""
+#: Private keys from marker to marker, header lines included; a key whose end is missing stops at no other's begin.
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+(?:-(?!----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+#: Strings of a known shape, or long runs of letters and digits, to their end.
+SHAPED = rf"{PEM}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{20,}}+"
 SECRET_NAMES = "passw|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|login|akia"
 HARMLESS_NAMES = "example|sample|dummy|fake|test|placeholder|your|changeme|xxxx|commit|sha|md5|checksum|digest|hash|revision|uuid|guid|isbn|version|fingerprint|https?|www|href|img|src"
 #: Words that make up identifiers and placeholders rather than random strings.
