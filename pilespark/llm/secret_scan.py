@@ -13,19 +13,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WINDOW = 40
+#: What stands before (group 1) and after (group 3) a candidate (group 2).
+_BEFORE, _AFTER = rf"(?<=(\A(?s:.){{0,{WINDOW - 1}}}|(?s:.){{{WINDOW}}}))", rf"(?=((?s:.){{0,{WINDOW}}}))"
 #: Values assigned to names that hold secrets, to their end.
-ASSIGNED = r"""(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?["']?\s{0,3}[:=]{1,2}\s{0,3}["']?([^\s"'<>,;]{6,}+)"""
+ASSIGNED = rf"""(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)s?["']?\s{{0,3}}[:=]{{1,2}}\s{{0,3}}["']?(?=[^\s"'<>,;]{{6}}){_BEFORE}([^\s"'<>,;]{{6,}}+){_AFTER}"""
 #: Private keys from marker to marker, header lines included; a key whose end is missing stops at no other's begin.
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+(?:-(?!----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})(?=[A-Za-z+/_=-]*+[0-9])"
 #: Strings of a known shape, or long runs of letters and digits, to their end.
-SHAPED = rf"{PEM}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{20,}}+"
+SHAPED = rf"(?:(?=-----BEGIN )|{_RUN}){_BEFORE}({PEM}|{_RUN}[A-Za-z0-9+/_=-]{{20,}}+){_AFTER}"
 SECRET_NAMES = "passw|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|login|akia"
 HARMLESS_NAMES = "example|sample|dummy|fake|test|placeholder|your|changeme|xxxx|commit|sha|md5|checksum|digest|hash|revision|uuid|guid|isbn|version|fingerprint|https?|www|href|img|src"
 #: Words that make up identifiers and placeholders rather than random strings.
 DICTIONARY = "example sample dummy fake test placeholder your change me secret password token key value name user data file path index table column config default local server client service request response message error handler manager factory builder reader writer string number integer boolean object array list map set get put post delete update create insert select from where order group this that with have will what when which there their about would these other into more some could time than first been call who now find long down day did come made may part over new sound take only little work know place year live back give most very after thing our just name good sentence man think say great help through much before line right too mean old any same tell boy follow came want show also around form three small".split()
 PATHS = "test|example|sample|fixture|doc|mock|demo"
 FEATURES = ("length", "transitions", "digits", "uppers", "variety", "coverage", "known", "named", "harmless", "path", "repeats")
-WINDOW = 40
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -150,24 +153,29 @@ def _forest_of(spark: SparkSession, count: int) -> tuple:
 def find(docs: DataFrame, least: float = 0.5, training: int = 4000, text_column: str = "text", path_column: str | None = "source") -> DataFrame:
     """All columns of docs, with secrets in the text replaced by ``[SECRET]``, and n_candidates, n_secrets, findings.
 
-    findings: array of (candidate, score), distinct candidates longest first; a candidate is a secret if its score is ``least`` or more. The surroundings
-    are those of its first occurrence; all occurrences are replaced. The forest is trained on ``training`` findings made by rule.
+    findings: array of (candidate, score), distinct candidates longest first; a candidate is a secret if its score is ``least`` or more. Each place
+    where a pattern finds it is scored with its own surroundings, and the highest score counts; all occurrences are replaced. The forest is trained on
+    ``training`` findings made by rule.
     A null text stays null and has no candidates; new columns replace given ones of the same name; without ``path_column`` the path is empty.
     """
     spark = docs.sparkSession
     forest = list(_forest_of(spark, training))
     path = F.coalesce(F.col(path_column).cast("string"), F.lit("")) if path_column and path_column in docs.columns else F.lit("")
     text = F.coalesce(F.col(text_column), F.lit(""))
-    found = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)), F.regexp_extract_all(text, F.lit(SHAPED), F.lit(0))))
-    longest = F.array_sort(found, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    groups = [[F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)] for pattern in (ASSIGNED, SHAPED)]
+    found = F.concat(*[F.arrays_zip(b.alias("before"), c.alias("candidate"), a.alias("after")) for b, c, a in groups])
+
+    def measured(x: Column) -> Column:
+        return F.struct(x["candidate"].alias("candidate"), features(x["candidate"], x["before"], x["after"], F.col("_path")).alias("f"))
 
-    def measured(c: Column) -> Column:
-        at = F.instr(F.col("_text"), c)
-        before = F.substring(F.col("_text"), F.greatest(at - WINDOW, F.lit(1)), F.least(F.lit(WINDOW), at - 1))
-        return F.struct(c.alias("candidate"), features(c, before, F.substring(F.col("_text"), at + F.length(c), F.lit(WINDOW)), F.col("_path")).alias("f"))
+    def ordered(x: Column) -> Column:
+        return F.struct((-F.length(x["candidate"])).alias("n"), x["candidate"].alias("candidate"), (-forest_score(forest, x["f"])).alias("s"))
 
-    scored = docs.withColumn("_text", text).withColumn("_path", path).withColumn("_found", longest)
-    scored = scored.withColumn("findings", F.transform(F.transform("_found", measured), lambda x: F.struct(x["candidate"].alias("candidate"), forest_score(forest, x["f"]).alias("score"))))
+    # Of a candidate's places the highest score comes first.
+    scored = docs.withColumn("_path", path).withColumn("_text", text).withColumn("_found", found)
+    scored = scored.withColumn("_found", F.sort_array(F.transform(F.transform("_found", measured), ordered)))
+    best = F.filter("_found", lambda x, i: (i == 0) | (F.col("_found")[F.greatest(i - 1, F.lit(0))]["candidate"] != x["candidate"]))
+    scored = scored.withColumn("findings", F.transform(best, lambda x: F.struct(x["candidate"].alias("candidate"), (-x["s"]).alias("score"))))
     secret = F.filter("findings", lambda x: x["score"] >= least)
     scored = scored.withColumn("n_candidates", F.size("findings")).withColumn("n_secrets", F.size(secret))
     clean = F.aggregate(secret, F.col("_text"), lambda t, x: F.replace(t, x["candidate"], F.lit("[SECRET]")))

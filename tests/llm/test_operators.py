@@ -291,6 +291,15 @@ def test_secrets_of_any_length(spark):
     assert [r["text"] for r in secret_scan.find(frame(spark, texts)).orderBy("doc_id").collect()] == want
 
 
+def test_secret_named_later(spark):
+    """Each place of a candidate is scored: harmless surroundings of the first, or a longer word around it, do not decide for a later one."""
+    token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [f'commit {token} merged\n{"word " * 20}\ntoken = "{token}"', f'see x-{token}-y of it\n{"word " * 20}\ntoken = "{token}" end', f"commit {token} merged\n{'word ' * 20}\nsha1 {token} again"]
+    out = secret_scan.find(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [token in r["text"] for r in out] == [False, False, True] and [r["n_candidates"] for r in out] == [1, 2, 1]
+    assert out[0]["text"].endswith('token = "[SECRET]"') and out[2]["text"] == texts[2]
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
