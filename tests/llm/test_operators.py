@@ -234,6 +234,36 @@ def test_fuzzy_lines(spark):
     assert sum(r["n_removed"] for r in out[::2]) == 0 and sum(r["n_removed"] for r in out[1::2]) >= 24
 
 
+def test_near_lines_of_every_length(spark):
+    """Recall against brute-force edit similarity on lines of 3 to 60 words, with one edit and with all that the similarity allows at random places."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    pairs = []
+    for m in (3, 4, 5, 8, 10, 15, 20, 30, 45, 60):
+        for i in range(20):
+            base = near = " ".join(word() for _ in range(m))
+            for _ in range(1 if i % 2 else len(base) // 10):
+                at = rng.randrange(1, len(near) - 1)
+                near = near[:at] + rng.choice(["z", "z" + near[at], ""]) + near[at + 1 :]
+            pairs.append((m, i % 2, base, near))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    normal = [(m, one, " ".join(a.split()), " ".join(b.split())) for m, one, a, b in pairs]
+    near = [10 * distance(a, b) <= max(len(a), len(b)) for _, _, a, b in normal]
+    out = line_dedup.dedup_lines(frame(spark, [x for _, _, a, b in normal for x in (a, b)])).orderBy("doc_id").collect()
+    gone = [r["n_removed"] for r in out[1::2]]
+    assert sum(r["n_removed"] for r in out[::2]) == 0 and sum(near) > 180 and not any(g for g, n in zip(gone, near) if not n)
+    missed = [(m, one, len(a)) for (m, one, a, b), g, n in zip(normal, gone, near) if n and not g]
+    assert len(missed) <= 2 and not any(one or length < 90 for _, one, length in missed), missed
+
+
 def test_simhash_majorities(spark):
     """Bits and lengths against a count by hand, for lines below and above one row of counters, and for rows that occur twice."""
     rng = random.Random(3)
