@@ -167,6 +167,19 @@ class Automaton:
         return self.all_ids[self.cuts[number] : self.cuts[number + 1]].tolist() if word and self.finals[state] else None
 
 
+_BYTE_OF = {c: b for b, c in enumerate(byte_alphabet())}
+
+
+def all_pieces(encoder: Encoder, text: str) -> list[str] | None:
+    """The pre-tokenizer's pieces of any text, by the library's normalizer and pre-tokenizer beyond the encoder's letters; None with an added token's string."""
+    pieces = encoder.pieces(text)
+    if pieces is None and not any(a in text for a in encoder.added):
+        normalizer = encoder.tokenizer.normalizer
+        normal = normalizer.normalize_str(text) if normalizer else text
+        pieces = [bytes(map(_BYTE_OF.__getitem__, piece)).decode() for piece, _ in encoder.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+    return pieces
+
+
 class WordCodec:
     """Encodes and decodes whole texts; ``decode`` joins tokens with a space, as the library does for a file without a decoder."""
 
@@ -202,7 +215,7 @@ class WordCodec:
 
     def both(self, text: str | None) -> tuple[str, str]:
         """Decimal ids and decoded text, each joined by one space."""
-        pieces = self.encoder.pieces(text or "")
+        pieces = all_pieces(self.encoder, text or "")
         if pieces is None:
             ids = self.encoder.ids(text)
             return " ".join(map(str, ids)), self.decode(ids)
@@ -212,7 +225,7 @@ class WordCodec:
 
 
 def frequent_words(docs: DataFrame, content: str, size: int, text_column: str = "text") -> list[str]:
-    """The most frequent pre-tokenised words over all documents, at most ``size``; only these reach the driver.
+    """The most frequent pre-tokenised words over all documents but those with an added token's string, at most ``size``; only these reach the driver.
 
     Words are taken by classes of counts, a sixteenth of a doubling wide, from the top as long as whole classes fit; a word that occurs once is not frequent.
     """
@@ -223,7 +236,7 @@ def frequent_words(docs: DataFrame, content: str, size: int, text_column: str =
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(encoder.pieces(text or "") or ())
+                seen.update(all_pieces(encoder, text or "") or ())
             if len(seen) > 300_000:
                 yield flush()
                 seen.clear()

@@ -126,6 +126,15 @@ def test_bpe_automaton(docs, empty):
     assert bpe_automaton.digest(empty, WORD).count() == 0
 
 
+def test_bpe_pieces_of_any_script():
+    """Texts beyond Latin letters go through pieces too, with the library's ids."""
+    library, content = Tokenizer.from_file(WORD), tokenizer_content(WORD)
+    codec = bpe_automaton.WordCodec(content, bpe_automaton.compile_lexicon({}))
+    texts = ["It\u2019s \u201cquoted\u201d \u2014 10 \u20ac, isn't", "\u041f\u0440\u0438\u0432\u0435\u0442, \u043c\u0438\u0440!  Two", "\u4e2d\u6587 \U0001f600 text\n\ttab \u0130\u017f", "e\u0301\u0323 \u00a0 \u2003 \u0915\u094d\u0937", "\u2014", "\u0661\u0662 \ufb01n \u212b"]
+    for text in texts:
+        assert bpe_automaton.all_pieces(codec.encoder, text) and codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_automaton_shares_suffixes():
     lexicon = {"walked": [1], "talked": [2, 3], "walks": [4], "talks": [5], "a": [6]}
     a = bpe_automaton.Automaton(bpe_automaton.compile_lexicon(lexicon))
