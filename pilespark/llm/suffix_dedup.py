@@ -5,12 +5,16 @@ equal offsets. So only text around anchors that occur twice can repeat. Where th
 equal, all is repeated. Where they differ, their distinct versions are put into a suffix array, and neighbours in it with a common
 prefix of ``length`` bytes are the repeated windows. The array is built in two stages: suffixes smaller than their successors are sorted
 directly, the rest are induced by scanning buckets.
+
+Two versions with a common window agree on half of what a window has besides its anchor, before the anchor or after it. Versions that
+share neither half with another one are left out, and an anchor with very many versions gets an array for each half that is shared.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +25,16 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 GRAM = 40
-#: Text that a task holds at once for anchors and for one suffix array.
-CHUNK = 2 << 20
+#: Bytes by which tied suffixes are read on where they agree.
+STRIDES = (160, 64, 16)
+#: Text that a task holds at once for anchors (numbers about it fit the processor's cache) and for one suffix array.
+CHUNK = 1 << 17
 ARRAY = 1 << 20
-#: Distinct surroundings of one anchor that one suffix array takes; more are dealt out, and their windows are also compared by hash.
-GROUP = 256
-FILTER_BITS = 1 << 26
+#: Distinct surroundings of one anchor that one suffix array takes; more are dealt out by the halves that they share. If one half has
+#: more, its versions are dealt out again, and their windows are also compared by hash.
+GROUP = 4096
+#: Bits of the filters of anchors: LEAST_BITS, or eight for each anchor, up to MOST_BITS (64 MB). What they let through too much a join drops.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -37,18 +45,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors of all windows inside the texts data[starts:ends], and their k-grams' hashes."""
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(n, _BASE, _U)), np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), _U))
+
+
+def _sums_of(data: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hashes of the ``width`` bytes at each position that has so many."""
+    if len(data) < width:
+        return np.zeros(0, _U)
+    power, back = _powers(-(-len(data) // CHUNK) * CHUNK)
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=sums[1:])
+    return (sums[width:] - sums[:-width]) * back[: len(data) - width + 1]
+
+
+def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of all windows inside the texts data[starts:ends]: positions of their anchors, the k-grams' hashes, and the first and the last window that has each anchor."""
     gram = min(GRAM, length)
     n = len(data) - gram + 1
     wide = length - gram + 1
     long = ends - starts >= length
     if n < wide or not long.any():
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    power = np.cumprod(np.full(len(data), _BASE, _U))
-    back = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), _U))
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * power)])
-    grams = mix((sums[gram:] - sums[:-gram]) * back)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = mix(_sums_of(data, gram))
     low = grams >> _U(32) << _U(32) | np.arange(n, dtype=_U)
     cover = 1
     while 2 * cover <= wide:
@@ -57,11 +77,12 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     if wide > cover:
         low = np.minimum(low[: cover - wide], low[wide - cover :])
     inside = np.zeros(len(data) + 1, np.int32)
-    np.add.at(inside, starts[long], 1)
-    np.add.at(inside, ends[long] - length + 1, -1)
-    at = (low[np.cumsum(inside[: len(low)]) > 0] & _U(0xFFFFFFFF)).astype(np.int64)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    return at, grams[at]
+    inside[starts[long]] += 1  # no two texts begin at one place, nor end
+    inside[ends[long] - length + 1] -= 1
+    windows = np.flatnonzero(np.cumsum(inside[: len(low)]) > 0)
+    at = (low[windows] & _U(0xFFFFFFFF)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[cut], grams[at[cut]], windows[cut], windows[np.concatenate([cut[1:], [len(windows)]]) - 1]
 
 
 def words_of(data: np.ndarray) -> np.ndarray:
@@ -72,12 +93,17 @@ def words_of(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(data: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
-    """Suffixes of bytes ordered by their first ``depth`` bytes at least (the end sorts before any byte)."""
+def suffix_array(data: np.ndarray, depth: int, words: np.ndarray | None = None, group: np.ndarray | None = None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of bytes ordered by their first ``depth`` bytes at least (the end sorts before any byte).
+
+    ``group``: ascending numbers of the stretches to order by themselves, one after the other; each ends with a byte below all others.
+    ``wanted``: marks the suffixes to order; the few after each run of them from which they are induced come along.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
     words = words_of(data) if words is None else words
+    group = np.zeros(n, np.uint16) if group is None else group.astype(np.uint16 if group[-1] < 1 << 16 else np.int64)
     # Smaller than its successor: the next differing byte is larger. The last suffix is larger than the empty one.
     rise = np.zeros(n, np.int8)
     rise[:-1] = np.sign(data[1:].astype(np.int16) - data[:-1])
@@ -85,23 +111,33 @@ def suffix_array(data: np.ndarray, depth: int, words: np.ndarray | None = None)
     following = np.where(rise != 0, np.arange(n), n)
     following = np.minimum.accumulate(following[::-1])[::-1]
     small = rise[following] > 0
-    direct = _sorted(np.flatnonzero(small), words, depth)
+    if wanted is None:
+        wanted = np.ones(n, bool)
+    else:
+        ends = np.flatnonzero(wanted & ~np.concatenate([wanted[1:], [False]]))
+        until = np.minimum.accumulate(np.where(small, np.arange(n), n - 1)[::-1])[::-1][ends]
+        more = np.zeros(n + 1, np.int32)
+        more[ends] += 1
+        more[until + 1] -= 1
+        wanted = wanted | (np.cumsum(more[:n]) > 0)
+    direct = _sorted(np.flatnonzero(small & wanted), words, depth, group, [(w, _sums_of(data, w)) for w in STRIDES])
+    direct = direct[np.argsort(data[direct], kind="stable")]
     counts = np.bincount(data[direct], minlength=256)
     cuts = np.concatenate([[0], np.cumsum(counts)])
     heads: list[list[np.ndarray]] = [[] for _ in range(256)]
-    heads[data[-1]].append(np.array([n - 1]))
+    heads[data[-1]].append(np.flatnonzero(wanted[-1:]) + n - 1)
     out = []
     for c in range(256):
         parts, wave = [], np.concatenate(heads[c]) if heads[c] else np.zeros(0, np.int64)
         while len(wave):  # larger suffixes of this byte, then those that begin with the byte once more
             parts.append(wave)
             before = wave[wave > 0] - 1
-            wave = before[data[before] == c]
+            wave = before[(data[before] == c) & wanted[before]]
         parts.append(direct[cuts[c] : cuts[c + 1]])
         bucket = np.concatenate(parts)
         out.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[data[before] > c]
+        before = before[(data[before] > c) & wanted[before]]
         if len(before):
             firsts = data[before]
             order = np.argsort(firsts, kind="stable")
@@ -109,31 +145,47 @@ def suffix_array(data: np.ndarray, depth: int, words: np.ndarray | None = None)
             at = np.flatnonzero(np.concatenate([[True], firsts[1:] != firsts[:-1]]))
             for chunk in np.split(before, at[1:]):
                 heads[data[chunk[0]]].append(chunk)
-    return np.concatenate(out)
+    array = np.concatenate(out)
+    return array[np.argsort(group[array], kind="stable")]
 
 
-def _sorted(at: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes, by 8 bytes a round; each round sorts only what is still tied."""
+def _sorted(at: np.ndarray, words: np.ndarray, depth: int, group: np.ndarray, sums: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Positions by group, then in the order of their suffixes. A round reads tied suffixes on by a stride where they agree by hash, and sorts the others by the next 5 bytes."""
     n = len(words)
-    order = at[np.argsort(words[at], kind="stable")]
-    key = words[order]
-    tied_with_last = np.concatenate([[False], key[1:] == key[:-1]])
-    for skip in range(8, depth + 8, 8):
-        tied = tied_with_last.copy()
-        tied[:-1] |= tied_with_last[1:]
-        slots = np.flatnonzero(tied)
-        if not len(slots):
-            break
-        group = np.cumsum(~tied_with_last[slots])
-        pos = order[slots]
-        far = pos + skip
-        beyond = far < n
-        key = np.where(beyond, words[np.minimum(far, n - 1)], _U(0))
-        again = np.lexsort((beyond, key, group))
-        pos, key, beyond, group = pos[again], key[again], beyond[again], group[again]
-        order[slots] = pos
-        same = np.concatenate([[False], (key[1:] == key[:-1]) & (group[1:] == group[:-1]) & beyond[1:] & beyond[:-1]])
-        tied_with_last[slots] = same
+    order = at[np.argsort(words[at])]
+    order = order[np.argsort(group[order], kind="stable")]
+    key, of = words[order], group[order]
+    tied = np.concatenate([[False], (key[1:] == key[:-1]) & (of[1:] == of[:-1])])  # with the one before
+    slots = np.flatnonzero(tied | np.concatenate([tied[1:], [False]]))
+    tied = tied[slots]
+    read = np.full(len(slots), 8, np.int64)  # bytes known to be equal in a slot's ties
+    while len(slots):
+        ties = np.cumsum(~tied) - 1
+        left = np.arange(len(slots))
+        for width, hashes in sums:
+            far = order[slots[left]] + read[left]
+            short = far >= len(hashes)
+            ahead = hashes[np.minimum(far, len(hashes) - 1)] if len(hashes) else np.zeros(len(far), _U)
+            unlike = short.copy()
+            unlike[1:] |= tied[left[1:]] & (ahead[1:] != ahead[:-1])
+            mixed = np.zeros(ties[-1] + 1, bool)
+            mixed[ties[left[unlike]]] = True
+            stay = mixed[ties[left]]
+            read[left[~stay]] += width
+            left = left[stay]
+        if len(left):
+            far = order[slots[left]] + read[left]
+            # Ties, five bytes and whether there are any in one number: arrays are far too short for 2**23 ties.
+            key = ties[left].astype(_U) << _U(41) | np.where(far < n, words[np.minimum(far, n - 1)] >> _U(24) << _U(1) | _U(1), _U(0))
+            again = np.argsort(key, kind="stable")
+            order[slots[left]] = order[slots[left]][again]
+            key = key[again]
+            same = np.zeros(len(left), bool)
+            same[1:] = (key[1:] == key[:-1]) & (key[1:] & _U(1) == 1)
+            tied[left] = same
+            read[left] += 5
+        keep = (tied | np.concatenate([tied[1:], [False]])) & (read < depth)
+        slots, tied, read = slots[keep], tied[keep], read[keep]
     return order
 
 
@@ -168,16 +220,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _bits(rows: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits of the column ``key``, built by the tasks; a few megabytes, whatever the corpus."""
-    bit = F.pmod("key", F.lit(FILTER_BITS)) + 1
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows.groupBy(F.expr(f"bitmap_bucket_number(pmod(key, {FILTER_BITS}L) + 1)").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toLocalIterator():
+    """Bits of the column ``key``, built by the tasks: as many as its rows ask for, within bounds, whatever the corpus."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * rows.count()).bit_length()))
+    bit = F.pmod("key", F.lit(size)) + 1
+    table = np.zeros(size // 8, np.uint8)
+    for r in rows.groupBy(F.expr(f"bitmap_bucket_number(pmod(key, {size}L) + 1)").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toLocalIterator():
         table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     return table
 
 
 def _in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys % _U(FILTER_BITS)).astype(np.int64)
+    at = (keys % _U(8 * len(table))).astype(np.int64)
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -186,17 +239,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id"
 
     Removed is each byte of a ``length``-byte string that also starts anywhere else, in the same document or another; all is judged on the
     input. A null text is empty. Texts of under ``length`` bytes keep everything. Equal texts are one class: if they are long
-    enough they go whole. Equal or null doc_ids are separate documents; other columns are not read.
+    enough they go whole. Equal or null doc_ids are separate documents; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("text").alias("cls"), F.col("text").cast("binary").alias("bytes"), "doc_id")
-    reach = length - min(GRAM, length)
+    gram = min(GRAM, length)
+    reach = length - gram
+    half = -(-reach // 2)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for few, data, starts, ends in _chunks(batches):
-            at, keys = anchors(data, starts, ends, length)
+            at, keys, _, _ = anchors(data, starts, ends, length)
             if not len(at):
                 continue
             doc = np.searchsorted(starts, at, "right") - 1
@@ -213,44 +268,59 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id"
     maybe = spark.sparkContext.broadcast(_bits(repeated))
 
     def surroundings(content: bool, table):  # noqa: ANN001, ANN202
+        """Of each anchor, or with ``content`` each occurrence, that the filter knows: hashes of its surroundings and of their halves, or the text."""
+
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for few, data, starts, ends in _chunks(batches):
-                at, keys = anchors(data, starts, ends, length)
-                known = _in(table.value, keys)
-                at, keys = at[known], keys[known]
+                at, keys, left, last = anchors(data, starts, ends, length)
+                doc = np.searchsorted(starts, at, "right") - 1
+                occ = _occurrence(few.column(0).to_numpy()[doc], at - starts[doc])
+                known = _in(table.value, occ.view(_U) if content else keys)
+                at, keys, doc, occ, left, right = at[known], keys[known], doc[known], occ[known], left[known], last[known] + length
                 if not len(at):
                     continue
-                doc = np.searchsorted(starts, at, "right") - 1
-                left, right = np.maximum(at - reach, starts[doc]), np.minimum(at + length, ends[doc])
                 view = memoryview(data)
-                digests = np.array([xxhash.xxh3_64_intdigest(view[i:j], seed=k - i) for i, j, k in zip(left.tolist(), right.tolist(), at.tolist())], _U)
-                cols = {"key": pa.array(keys.view(np.int64)), "seg": pa.array(digests.view(np.int64)), "cls": few.column(0).take(pa.array(doc)), "s": pa.array(left - starts[doc])}
+                digest = xxhash.xxh3_64_intdigest
+                digests = np.array([digest(view[i:j], seed=k - i) for i, j, k in zip(left.tolist(), right.tolist(), at.tolist())], _U)
+                cols = {"key": pa.array(keys.view(np.int64)), "seg": pa.array(digests.view(np.int64)), "cls": few.column(0).take(pa.array(doc)), "s": pa.array(left - starts[doc]), "o": pa.array(occ)}
                 if content:
                     cols |= {"doc_id": few.column(2).take(pa.array(doc)), "content": pa.array([view[i:j].tobytes() for i, j in zip(left.tolist(), right.tolist())], pa.binary())}
                 else:
                     cols |= {"e": pa.array(right - starts[doc])}
+                    for name, has, i in (("before", at - left >= half, at - half), ("after", right - at - gram >= half, at + gram)):
+                        hashes = np.array([digest(view[k : k + half]) if ok else 0 for ok, k in zip(has.tolist(), i.tolist())], _U)
+                        cols[name] = pa.array(hashes.view(np.int64), mask=~has)
                 yield pa.RecordBatch.from_pydict(cols)
 
         return each
 
-    around = scratch.write(texts.select("cls", "bytes").mapInArrow(surroundings(False, maybe), "key long, seg long, cls long, s long, e long"), "around")
-    versions = scratch.write(around.groupBy("key", "seg").agg(F.min(F.struct("cls", "s")).alias("f"), F.max(F.struct("cls", "s")).alias("l")).select("key", "seg", "f.cls", "f.s", F.expr("f < l").alias("twice")), "versions")
-    whole = around.join(versions.where("twice").select("key", "seg"), ["key", "seg"]).select("cls", "s", "e").distinct()
+    around = scratch.write(texts.select("cls", "bytes").mapInArrow(surroundings(False, maybe), "key long, seg long, cls long, s long, o long, e long, before long, after long"), "around", free=True)
+    versions = around.groupBy("key", "seg").agg(F.min(F.struct("cls", "s", "o")).alias("f"), F.max(F.struct("cls", "s", "o")).alias("l"), F.max("before").alias("before"), F.max("after").alias("after"))
+    versions = scratch.write(versions.select("key", "seg", "f.*", F.expr("f < l").alias("twice"), "before", "after"), "versions", free=True)
+    whole = scratch.write(around.join(versions.where("twice").select("key", "seg"), ["key", "seg"]).select("cls", "s", "e").distinct(), "whole", free=True)
+    scratch.drop("around", "repeated")
     mixed = versions.groupBy("key").agg(F.count("*").alias("k"), F.min("twice").alias("all")).where("k > 1 and not all").select("key", "k")
-    unlike = scratch.write(versions.join(mixed, "key").select("key", "seg", "cls", "s", "k"), "unlike")
-    table = spark.sparkContext.broadcast(_bits(unlike))
-    texts_of = texts.mapInArrow(surroundings(True, table), "key long, seg long, cls long, s long, doc_id long, content binary")
+    halves = versions.join(mixed, "key").selectExpr("key", "seg", "cls", "s", "o", "k", "explode(array(struct(0 AS side, before AS half), struct(1 AS side, after AS half))) AS x").select("key", "seg", "cls", "s", "o", "k", "x.*").where("half IS NOT NULL")
+    halves = scratch.write(halves, "halves", free=True)
+    scratch.drop("versions")
+    shared = halves.groupBy("key", "side", "half").agg(F.count("*").alias("n")).where("n > 1")
+    met = halves.join(shared, ["key", "side", "half"])
+    few = met.where(f"k <= {GROUP}").selectExpr("key", "seg", "cls", "s", "o", "2 AS side", "0L AS half", "false AS split", "0L AS sub").distinct()
+    many = met.where(f"k > {GROUP}").selectExpr("key", "seg", "cls", "s", "o", "side", "half", f"n > {GROUP} AS split", f"pmod(seg, cast(ceil(n / {GROUP}) AS bigint)) AS sub")
+    unlike = scratch.write(few.union(many), "unlike", free=True)
+    scratch.drop("halves")
+    table = spark.sparkContext.broadcast(_bits(unlike.select(F.col("o").alias("key"))))
+    texts_of = texts.mapInArrow(surroundings(True, table), "key long, seg long, cls long, s long, o long, doc_id long, content binary")
     # Of a copied class only the least document's text is taken.
-    owners = unlike.join(copied, "cls", "left").withColumnRenamed("rep", "owner")
-    chosen = texts_of.join(owners, ["key", "seg", "cls", "s"]).where("owner is null or owner <=> doc_id")
-    dealt = chosen.select("key", "seg", "cls", "s", "content", F.expr(f"k > {GROUP}").alias("split"), F.expr(f"pmod(seg, cast(ceil(k / {GROUP}) as int))").alias("sub"))
+    owners = unlike.drop("s").join(copied, "cls", "left").withColumnRenamed("rep", "owner")
+    dealt = texts_of.join(owners, ["key", "seg", "cls", "o"]).where("owner is null or owner <=> doc_id").select("key", "side", "half", "sub", "seg", "cls", "s", "content", "split")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             yield from _repeats(t, length)
 
-    compared = dealt.repartition("key", "sub").sortWithinPartitions("key", "sub", "seg").mapInArrow(compare, "cls long, s long, e long, window long, low long, high long")
-    compared = scratch.write(compared, "compared")
+    compared = dealt.repartition("key", "side", "half", "sub").sortWithinPartitions("key", "side", "half", "sub", "seg").mapInArrow(compare, "cls long, s long, e long, window long, low long, high long")
+    compared = scratch.write(compared, "compared", free=True)
     far = compared.where("window is not null")
     hashes = far.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("window")
     across = far.where("cls is not null").join(hashes, "window").select("cls", "s", "e")
@@ -282,36 +352,47 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id"
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of whole (key, sub) groups, about ARRAY bytes of text at a time."""
+    """Rows of whole (key, side, half, sub) groups, about ARRAY bytes of text at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
         for at in range(0, b.num_rows, 512):
             few = b.slice(at, 512)
             held.append(few)
-            size += 360 * few.num_rows
+            size += few.column(few.schema.get_field_index("content")).nbytes
             if size >= ARRAY:
                 t = pa.Table.from_batches(held)
-                key, sub = t["key"].to_numpy(), t["sub"].to_numpy()
-                end = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])]))[-1])
+                end = int(np.flatnonzero(_begins(t))[-1])
                 if end:
                     yield t.slice(0, end)
                     held = t.slice(end).to_batches()
-                    size = 360 * (t.num_rows - end)
+                    size = t["content"].slice(end).nbytes
     if held:
         yield pa.Table.from_batches(held)
 
 
+def _begins(t: pa.Table) -> np.ndarray:
+    """Where a group of rows begins."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in ("key", "side", "half", "sub"):
+        x = t[c].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
 def _repeats(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     """Rows (cls, s, e) of repeated windows among the rows' texts; for split groups also (window, low, high) of all windows."""
     contents = t["content"].to_pylist()
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-    data = np.frombuffer(b"".join(contents), np.uint8)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    # No UTF-8 text has the byte 255: raised by one, it ends each text with a byte below all others.
+    data = np.frombuffer(b"\xff".join([*contents, b""]), np.uint8) + np.uint8(1)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     words = words_of(data)
-    array = suffix_array(data, length, words)
-    row_of = np.repeat(np.arange(len(sizes)), sizes)
-    array = array[array + length <= (starts + sizes)[row_of[array]]]
+    row_of = np.repeat(np.arange(len(sizes)), sizes + 1)
+    window = np.arange(len(data)) + length <= (starts + sizes)[row_of]
+    array = suffix_array(data, length, words, (np.cumsum(_begins(t)) - 1)[row_of], window)
+    array = array[window[array]]
     if not len(array):
         return
     cls, s = t["cls"].to_numpy(), t["s"].to_numpy()
