@@ -44,4 +44,6 @@ def line() -> Column:
 
 
 def human_count(n: Column) -> Column:
-    return F.when(n >= 1e9, F.format_string("%.2fB", n / 1e9)).when(n >= 1e6, F.format_string("%.1fM", n / 1e6)).when(n >= 1e3, F.format_string("%.0fk", n / 1e3)).otherwise(n.cast("string"))
+    """A count as report tables show it: whole below a thousand, else in k, M (one decimal) or B (two)."""
+    scaled = [(1e9, "%.2fB"), (1e6, "%.1fM"), (1e3, "%.0fk")]
+    return F.coalesce(*[F.when(n >= unit, F.format_string(form, n / unit)) for unit, form in scaled], n.cast("string"))

@@ -34,6 +34,11 @@ def chunks(sites: DataFrame, size: int = 200, gap: int = 50_000) -> DataFrame:
     return islands.withColumn("chunk", ((rank - 1) / size).cast("long")).drop("_far")
 
 
+def extents(chunked: DataFrame) -> DataFrame:
+    """chrom, island, chunk, first, last: the least and greatest position of each chunk."""
+    return chunked.groupBy("chrom", "island", "chunk").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
 def counted(chunked: DataFrame) -> DataFrame:
     """Adds counted: of equal sites in a chunk only the last gets counts, the others print as empty."""
     last = F.row_number().over(Window.partitionBy("chrom", "island", "chunk", "pos").orderBy(F.desc("bed_line"), F.desc("within_line")))

@@ -76,7 +76,8 @@ def density(pairs: DataFrame, x: str, y: str, low: float, high: float, bins: int
 
 def sample_per_group(rows: DataFrame, group: str, keys: tuple[str, ...], size: int = 50, seed: int = 42) -> DataFrame:
     """``size`` rows of each group (all of a smaller one), drawn by a seeded hash of the keys."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(*keys, F.lit(seed)), *keys))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(drawn, *keys))
     return rows.withColumn("_n", rank).where(F.col("_n") <= size).drop("_n")
 
 

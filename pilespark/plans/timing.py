@@ -30,6 +30,11 @@ def anonymised(rows: DataFrame, cohort: str = "cohort") -> DataFrame:
     return rows.join(labels, cohort, "left")
 
 
+def label_number(label: Column) -> Column:
+    """The number that a label ends with, by which labels are listed: cohort_2 before cohort_10."""
+    return F.regexp_extract(label, "([0-9]+)$", 1).try_cast("long")
+
+
 def cohort_summary(rows: DataFrame, cohort: str, slow: str, fast: str) -> DataFrame:
     """Medians, linear quartiles and sizes by cohort, and the median of the rows' ratios (not the ratio of medians)."""
     a, b = F.col(slow), F.col(fast)

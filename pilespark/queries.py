@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import synthetic as X
 from .functions import fmt, kernel as K
@@ -284,7 +285,7 @@ def density_2d(spark, d):
     return parity.density(rows, "x", "y", 0.0, 120_000.0)
 
 
-@query()
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS n FROM documents) WHERE n <= 50")
 def sample_per_group(spark, d):
     return parity.sample_per_group(X.table(spark, d, "documents").select("source", "doc_id"), "source", ("doc_id",))
 
@@ -301,6 +302,37 @@ def trace_max(spark, d):
     return timing.trace_max(t, "COUNT")
 
 
+@query("""WITH m AS (SELECT CAST(c_custkey AS VARCHAR) AS sample_id, c_acctbal AS rs_wall_s FROM customer), t AS (SELECT CAST(user_id AS VARCHAR) AS sample_id, max((event_id % 90) * 60.0 + event_id % 7) AS realtime_s FROM events WHERE event_id % 4 < 2 AND event_id % 3 > 0 GROUP BY ALL)
+SELECT sample_id, rs_wall_s, realtime_s FROM m LEFT JOIN t USING (sample_id)""")
+def metrics_timings(spark, d):
+    from .sources.tables import with_timings
+
+    trace = X.table(spark, d, "events").selectExpr("if(event_id % 3 > 0, 'COUNT', 'INDEX') || ' (' || user_id || ')' AS name", "element_at(array('COMPLETED', 'CACHED', 'FAILED', 'ABORTED'), cast(event_id % 4 + 1 AS int)) AS status", "(event_id % 90) || 'm ' || (event_id % 7) || 's' AS realtime")
+    metrics = X.table(spark, d, "customer").selectExpr("cast(c_custkey AS string) AS sample_id", "c_acctbal AS rs_wall_s")
+    return with_timings(metrics, timing.trace_max(trace, "COUNT")).select("sample_id", "rs_wall_s", "realtime_s")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS sample_id, CASE WHEN c_nationkey = 3 THEN 'excluded' WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'done' ELSE 'pending' END AS status FROM customer")
+def sample_status(spark, d):
+    from .sources.tables import status
+
+    c = X.table(spark, d, "customer").selectExpr("cast(c_custkey AS string) AS sample_id", "c_nationkey")
+    done = X.table(spark, d, "orders").where("o_orderstatus = 'F'").selectExpr("cast(o_custkey AS string) AS sample_id")
+    return status(c, done, c.where("c_nationkey = 3"))
+
+
+@query(f"""WITH {SITES}, c AS (SELECT *, (row_number() OVER (PARTITION BY chrom ORDER BY pos, bed_line, within_line) - 1) // 200 AS chunk FROM g1 WHERE chrom <> 'chr4') SELECT chrom, 0 AS island, chunk, min(pos) AS first, max(pos) AS last FROM c GROUP BY chrom, chunk""")
+def chunk_extents(spark, d):
+    e = S.extents(S.chunks(S.known(S.expand(X.ranges(spark, d)), X.contigs(spark))))
+    return e.select("chrom", F.col("island").cast("int").alias("island"), "chunk", "first", "last")
+
+
+@query("SELECT DISTINCT 'cohort_' || (c_custkey % 25) AS label, row_number() OVER (ORDER BY c_custkey % 25) AS place FROM (SELECT DISTINCT c_custkey % 25 AS c_custkey FROM customer)")
+def labels_in_order(spark, d):
+    labels = X.table(spark, d, "customer").selectExpr("'cohort_' || (c_custkey % 25) AS label").distinct()  # a row for each cohort
+    return labels.select("label", F.row_number().over(Window.orderBy(timing.label_number(F.col("label")), "label")).cast("long").alias("place"))
+
+
 @query("SELECT c_mktsegment AS cohort, count(*) AS n, round(median(o_totalprice), 4) AS slow_median, round(median(o_totalprice / (1 + o_orderkey % 7)), 4) AS fast_median, round(quantile_cont(o_totalprice, 0.25), 4) AS slow_q1, round(quantile_cont(o_totalprice, 0.75), 4) AS slow_q3, round(median(o_totalprice / (o_totalprice / (1 + o_orderkey % 7))), 4) AS median_speedup FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
 def cohort_summary(spark, d):
     rows = X.table(spark, d, "orders").join(X.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("c_mktsegment AS cohort", "o_totalprice AS slow", "o_totalprice / (1 + o_orderkey % 7) AS fast")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import os
 import struct
 import zlib
@@ -134,22 +135,32 @@ def index_chunks(path: str, tid: int, begin: int, end: int) -> list[tuple[int, i
         if t == tid and n_lines:
             least = struct.unpack_from("<Q", raw, i + 8 * min(begin >> 14, n_lines - 1))[0]
         i += 8 * n_lines
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted((max(a, least), b) for a, b in out if b > least):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+    return merged([(max(a, least), b) for a, b in out if b > least])
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans that neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            merged.append((a, b))
-    return merged
+            out.append((a, b))
+    return out
 
 
 class _Part(InputPartition):
-    def __init__(self, start: int, end: int, tid: int = -1, low: int = 0, high: int = 1 << 31):
-        self.start, self.end, self.tid, self.low, self.high = start, end, tid, low, high
+    """Records that begin in [start, end); with a contig those over one of its spans, sorted and apart."""
+
+    def __init__(self, start: int, end: int, tid: int = -1, spans: tuple[tuple[int, int], ...] = ()):
+        self.start, self.end, self.tid, self.spans = start, end, tid, spans
 
 
 class BamReader(DataSourceReader):
-    """Options: path; regions ``chr:begin-end,...`` (0-based, half open, needs path.bai)."""
+    """Options: path; regions ``chr:begin-end,...`` (0-based, half open, needs path.bai).
+
+    Regions of a contig are merged and so are the index chunks that they lead to, so a read over several regions comes once.
+    """
 
     def __init__(self, options: dict):
         self.path, self.regions = options["path"], [r for r in options.get("regions", "").split(",") if r]
@@ -161,26 +172,35 @@ class BamReader(DataSourceReader):
         if not self.regions:
             return [_Part(self.first, 1 << 62)]
         bai = self.path + ".bai" if os.path.exists(self.path + ".bai") else self.path.removesuffix(".bam") + ".bai"
-        out: list[InputPartition] = []
+        spans: dict[str, list[tuple[int, int]]] = {}
         for r in self.regions:
             name, _, span = r.rpartition(":")
-            if name in self.names:  # an unknown contig has no rows
-                low, high = map(int, span.split("-"))
-                out += [_Part(a, b, self.names.index(name), low, high) for a, b in index_chunks(bai, self.names.index(name), low, high)]
+            low, high = map(int, span.split("-"))
+            spans.setdefault(name, []).append((low, high))
+        out: list[InputPartition] = []
+        for name in self.names:  # an unknown contig has no rows
+            wanted, tid = merged(spans.get(name, [])), self.names.index(name)
+            found = merged([c for low, high in wanted for c in index_chunks(bai, tid, low, high)])
+            out += [_Part(a, b, tid, tuple(wanted)) for a, b in found]
         return out
 
-    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # nothing was planned
+            return
         blocks, rows = Blocks(self.path, partition.start), []
         schema = pa.schema([("ord", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("pos0", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("qual", pa.list_(pa.int32())), ("nm", pa.int64()), ("md", pa.string()), ("sm", pa.int32())])
         while (order := blocks.tell()) < partition.end and len(size := blocks.read(4)) == 4:
             raw = blocks.read(struct.unpack("<i", size)[0])
             tid, pos = struct.unpack_from("<ii", raw)
             if partition.tid >= 0:
-                if tid != partition.tid or pos >= partition.high:
+                if tid > partition.tid or tid < 0 or tid == partition.tid and pos >= partition.spans[-1][1]:
                     break
+                if tid < partition.tid:
+                    continue
                 n = struct.unpack_from("<H", raw, 12)[0]
                 span = sum(x >> 4 for x in struct.unpack_from(f"<{n}I", raw, 32 + raw[8]) if x & 15 in (0, 2, 3, 7, 8))
-                if pos + max(1, span) <= partition.low:
+                near = bisect.bisect_left(partition.spans, pos + max(1, span), key=lambda x: x[0]) - 1
+                if near < 0 or partition.spans[near][1] <= pos:
                     continue
             rows.append(decode(raw, self.names, order))
             if len(rows) == BATCH:

@@ -46,7 +46,9 @@ class FastaReader(DataSourceReader):
         step = 1024 * self.tile
         return [_Range(e, i, min(i + step, e[1])) for e in build_index(self.path) if not self.only or e[0] in self.only for i in range(0, max(1, e[1]), step)]
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # nothing was planned
+            return
         name, bases, offset, per_line, width = partition.entry
         if not bases:
             return

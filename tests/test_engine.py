@@ -16,7 +16,7 @@ from pilespark.plans import parity, timing
 from pilespark.plans.pileup import lines, pileup
 from pilespark.schema import CONTIG, READ, TILE, PileupConfig
 from pilespark.queries import ORACLE, QUERIES
-from pilespark.sources import bed
+from pilespark.sources import bed, tables
 from pilespark.sources.tables import sources
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,6 +40,32 @@ def _bgzf(data):
     return out
 
 
+def _index(bam):
+    """A .bai with a chunk for each record and the linear index."""
+    from pilespark.sources.bam import Blocks, header
+
+    blocks, bins, linear = Blocks(str(bam)), {}, {}
+    header(blocks)
+    while True:
+        start = blocks.tell()
+        size = blocks.read(4)
+        if len(size) < 4:
+            break
+        raw = blocks.read(struct.unpack("<i", size)[0])
+        pos, end = struct.unpack_from("<i", raw, 4)[0], struct.unpack_from("<i", raw, 4)[0] + 50
+        number = next(o + (pos >> s) for o, s in ((4681, 14), (585, 17), (73, 20), (9, 23), (1, 26), (0, 29)) if pos >> s == (end - 1) >> s)
+        bins.setdefault(number, []).append((start, blocks.tell()))
+        for k in range(pos >> 14, ((end - 1) >> 14) + 1):
+            linear.setdefault(k, start)
+    n = max(linear) + 1
+    offsets, last = [], 0
+    for k in range(n):
+        last = linear.get(k, last)
+        offsets.append(last)
+    body = b"".join(struct.pack("<Ii", b, len(c)) + b"".join(struct.pack("<QQ", *x) for x in c) for b, c in bins.items())
+    return b"BAI\1" + struct.pack("<ii", 1, len(bins)) + body + struct.pack("<i", n) + struct.pack(f"<{n}Q", *offsets)
+
+
 def _bam():
     data = b"BAM\1" + struct.pack("<ii", 0, 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1_000_000)
     for _, name, flag, _, pos, mapq, cigar, seq, qual, nm, md, sm in golden.rows():
@@ -74,6 +100,57 @@ def test_command_line(spark, tmp_path, kind):
     assert (tmp_path / "out").read_text().splitlines() == golden.lines()
 
 
+@pytest.mark.parametrize("extra", ["", "chr1\t5\t5\n"])
+def test_command_line_reads_by_index(spark, tmp_path, extra):
+    """With an index beside the file the same lines come out, from the chunks that the sites lead to."""
+    _fasta(tmp_path / "g.fa")
+    (tmp_path / "s.bed").write_text(golden.SITES + extra)
+    (tmp_path / "r.bam").write_bytes(_bam())
+    (tmp_path / "r.bam.bai").write_bytes(_index(tmp_path / "r.bam"))
+    cli.main(["-f", f"{tmp_path}/g.fa", "-l", f"{tmp_path}/s.bed", "-o", f"{tmp_path}/out", f"{tmp_path}/r.bam"], spark)
+    assert (tmp_path / "out").read_text().splitlines()[bool(extra) :] == golden.lines()
+
+
+def test_bam_regions(spark, tmp_path):
+    """Reads come once, however regions overlap, and only those over a region."""
+    sources(spark)
+    (tmp_path / "r.bam").write_bytes(_bam())
+    (tmp_path / "r.bam.bai").write_bytes(_index(tmp_path / "r.bam"))
+    reads = [r[0:2] + (r[4],) for r in golden.rows()]
+    over = lambda *spans: sorted(name for _, name, pos in reads if any(pos < b and pos + 48 > a for a, b in spans))
+    load = lambda text: sorted(r["qname"] for r in spark.read.format("bam").option("regions", text).load(f"{tmp_path}/r.bam").collect())
+    first, last = min(r[2] for r in reads), max(r[2] for r in reads)
+    assert load(f"chr1:{first}-{first + 10},chr1:{first + 5}-{first + 20},chr1:{first}-{last + 1}") == over((first, last + 1))
+    assert load(f"chr1:{first}-{first + 1},chrX:0-9") == over((first, first + 1)) and load("chr1:0-10") == [] and load("chrX:0-9") == []
+    assert load(f"chr1:{first}-{first + 1},chr1:{last}-{last + 1}") == over((first, first + 1), (last, last + 1))
+
+
+def test_traces_by_their_own_header(spark, tmp_path):
+    for name, text in (("a/trace1.txt", "task\tname\tstatus\trealtime\n1\tCOUNT (s1)\tCOMPLETED\t3m\n"), ("b/trace2.txt", "status\tname\trealtime\r\nCOMPLETED\tCOUNT (s2)\t5s\r\n"), ("b/trace3.txt", "name\tstatus\nCOUNT (s3)\tCACHED"), ("trace4.txt", ""), ("other.txt", "name\nCOUNT (s9)\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text, newline="")
+    got = sorted(tuple(r) for r in tables.traces(spark, str(tmp_path)).collect())
+    assert got == [("COUNT (s1)", "COMPLETED", "3m"), ("COUNT (s2)", "COMPLETED", "5s"), ("COUNT (s3)", "CACHED", None)]
+    assert sorted(tuple(r) for r in timing.trace_max(tables.traces(spark, str(tmp_path)), "COUNT").collect()) == [("s1", 180.0), ("s2", 5.0)]
+    metrics = spark.createDataFrame([("s1", 9.0), ("s4", 8.0)], "sample_id string, rs_wall_s double")
+    assert sorted(tuple(r) for r in tables.with_timings(metrics, timing.trace_max(tables.traces(spark, str(tmp_path)), "COUNT")).collect()) == [("s1", 9.0, 180.0), ("s4", 8.0, None)]
+
+
+def test_samples_are_parsed_once(spark, tmp_path):
+    for side, name in (("ours", "s1"), ("ours", "s2"), ("theirs", "s1"), ("theirs", "s2"), ("theirs", "s3")):
+        (tmp_path / side / name).mkdir(parents=True)
+        (tmp_path / side / name / "counts.txt").write_text("\n".join(golden.lines()) + "\n")
+    left = spark.createDataFrame([("s3",)], "sample_id string")
+    run = lambda: dict(tables.parse_samples(spark, f"{tmp_path}/ours/*/counts.txt", f"{tmp_path}/theirs/*/counts.txt", f"{tmp_path}/pairs", left).collect())
+    assert run() == {"s1": "pending", "s2": "pending", "s3": "excluded"} and run() == {"s1": "done", "s2": "done", "s3": "excluded"}
+    assert spark.read.parquet(f"{tmp_path}/pairs").groupBy("sample_id").count().orderBy("sample_id").collect() == [("s1", 5), ("s2", 5)]
+
+
+def test_report_formats(spark):
+    got = spark.createDataFrame([(n,) for n in (7, 999, 1000, 2_540_000, 2_104_474_278)], "n long").select(fmt.human_count(F.col("n"))).collect()
+    assert [r[0] for r in got] == ["7", "999", "1k", "2.5M", "2.10B"]
+
+
 def test_bam_fields(spark, tmp_path):
     sources(spark)
     (tmp_path / "r.bam").write_bytes(_bam())
