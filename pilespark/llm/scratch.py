@@ -7,6 +7,8 @@ driver and all executors share), so a lost executor costs only the tasks that re
 from __future__ import annotations
 
 import gc
+import itertools
+import re
 import tempfile
 import uuid
 
@@ -17,10 +19,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; one of our own where that is unset (tests)."""
+    """The folder that the session names in ``spark.checkpoint.dir``. Where it is unset, a folder of our own in local mode (tests), an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="pilespark-")
@@ -37,15 +41,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """Writes df and returns it as read back, with the schema that it was written with."""
+    def write(self, df: DataFrame, name: str, free: bool = False, **options: str) -> DataFrame:
+        """Writes df and returns it as read back, with the schema that it was written with. ``free``: gives back the disk of finished shuffles."""
         writer = df.write.mode("overwrite")
         for key, value in options.items():
             writer = writer.option(key, value)
         writer.parquet(self.path(name))
-        # Shuffle files of finished jobs are freed only when their handles are collected on the driver.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if free:  # shuffle files of finished jobs go only when their handles are collected on the driver
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -55,7 +59,7 @@ class Scratch:
             target.getFileSystem(conf).delete(target, True)
 
 
-def components(scratch: Scratch, edges: DataFrame, label: str = "cc", limit: int = 40) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of edges (u, v): one row (node, root) per node named by an edge, root the least node reachable.
 
     Large-star and small-star steps on (child, parent) rows until nothing changes. Each step is a partial-aggregated minimum and a
@@ -63,7 +67,7 @@ def components(scratch: Scratch, edges: DataFrame, label: str = "cc", limit: int
     """
     links = scratch.write(edges.where("u <> v").selectExpr("greatest(u, v) AS c", "least(u, v) AS p").distinct(), f"{label}0")
     before = None
-    for step in range(1, limit + 1):
+    for step in itertools.count(1):
         both = links.selectExpr("c AS n", "p AS m").union(links.selectExpr("p", "c"))
         least = both.groupBy("n").agg(F.min("m").alias("low")).selectExpr("n", "least(n, low) AS low")
         large = both.join(least, "n").where("m > n").selectExpr("m AS c", "low AS p")
@@ -76,7 +80,5 @@ def components(scratch: Scratch, edges: DataFrame, label: str = "cc", limit: int
         if tuple(state) == before:
             break
         before = tuple(state)
-    else:
-        raise RuntimeError(f"components did not settle in {limit} steps")
     roots = links.groupBy("c").agg(F.min("p").alias("root")).selectExpr("c AS node", "root")
     return roots.union(links.selectExpr("p AS node", "p AS root").distinct())
