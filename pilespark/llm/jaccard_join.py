@@ -10,22 +10,24 @@ size band asks for), whose Hamming distance is at most D, drop candidates before
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, components
 
 WORDS = 5
-SEEN = 300_000
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-#: Bits of the filter that says which sets a comparison may need; false positives cost a few rows, nothing else.
-FILTER_BITS = 1 << 24
-#: Sets from this size on have a second sketch: 256 parities say little of a difference that may be larger.
-WIDE = 512
+#: Bits of the filter that says which sets a comparison may need: LEAST_BITS, or eight for each set named, up to MOST_BITS (16 MB).
+#: False positives cost rows that a join drops, nothing else.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: A key is frequent if one set in so many has it; keys that a task holds together before it reports its own frequent ones.
+FREQUENT, HELD = 1024, 1_500_000
+#: Sets from this size on have a second sketch of four to eight parities a shingle: 256 parities say little of a difference that may be as large.
+WIDE = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,31 +37,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= SEEN:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+#: Lower-case bytes as numbers from 1 on, white space as 0.
+_BYTES = np.array([0 if b == 32 or 9 <= b <= 13 else 1 + b + 32 * (65 <= b <= 90) for b in range(256)], np.uint64)
+
+
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(n, _STEP)), np.cumprod(np.full(n, pow(int(_STEP), -1, 1 << 64), np.uint64))
 
 
 class Shingler:
     """Sets of hashed shingles: ASCII letters in lower case, words between ASCII white space."""
 
+    #: Bytes of text taken together: numbers about them fit the processor's cache.
+    CHUNK = 1 << 17
+
     def __init__(self, words: int = WORDS):
-        self.words, self.seen = words, _Words()
+        self.words = words
+
+    def sets(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The set of each text, as a sorted array; null texts have none."""
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < len(texts):
+            to = min(len(texts), max(at + 1, int(np.searchsorted(offsets, offsets[at] + self.CHUNK, "right")) - 1))
+            yield from self._sets_of(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            at = to
 
     def set_of(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        n, k = len(tokens), min(len(tokens), self.words)
-        if not n:
+        return next(self.sets(pa.array([text], pa.string())))
+
+    def _sets_of(self, data: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
+        values = _BYTES[data]
+        word = np.zeros(len(data) + 1, bool)
+        word[:-1] = values != 0
+        begins = word[:-1].copy()
+        begins[1:] &= ~word[:-2]
+        ends = word[:-1] & ~word[1:]
+        inner = cuts[:-1][cuts[:-1] < len(data)]
+        begins[inner] = word[inner]
+        ends[inner[inner > 0] - 1] = word[inner[inner > 0] - 1]
+        begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        power, back = _powers(max(1, -(-len(data) // self.CHUNK)) * self.CHUNK)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values * power[: len(data)], out=sums[1:])
+        w = mix((sums[end] - sums[begin]) * back[begin])
+        whole = self._shingles(w, self.words)
+        bounds = np.searchsorted(begin, cuts)
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if j - i > self.words:
+                h = np.sort(whole[i : j - self.words + 1])
+                yield h[np.concatenate([[True], h[1:] != h[:-1]])]
+            else:
+                yield self._shingles(w[i:j], max(1, j - i))
+
+    @staticmethod
+    def _shingles(w: np.ndarray, k: int) -> np.ndarray:
+        if len(w) < k:
             return np.zeros(0, np.uint64)
-        w = mix(np.fromiter(map(self.seen.__getitem__, tokens), np.uint64, n))
-        h = np.full(n - k + 1, k, np.uint64)
+        h = np.full(len(w) - k + 1, k, np.uint64)
         for i in range(k):
-            h = h * _STEP + w[i : n - k + 1 + i]
-        h = np.sort(mix(h))
-        return h if n == k else h[np.concatenate([[True], h[1:] != h[:-1]])]
+            h = h * _STEP + w[i : len(w) - k + 1 + i]
+        return mix(h)
 
 
 def _group_of(h: np.ndarray) -> tuple[int, int]:
@@ -75,7 +116,7 @@ def _wide(h: np.ndarray) -> np.ndarray | None:
     """Parities of a larger set, as many as its size band asks for; the parities of half as many bits are the XOR of the two halves."""
     if len(h) < WIDE:
         return None
-    bits = 1 << len(h).bit_length()
+    bits = 4 << len(h).bit_length()
     return np.packbits((np.bincount((h >> np.uint64(7)) & np.uint64(bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -124,8 +165,9 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
     """doc_id, n_shingles, component_id: the least id reachable over links of Jaccard similarity of at least ``percent``.
 
     Documents of fewer than ``words`` words have one shingle, the whole sequence; null, empty and blank ones have none and link with
-    nothing. Equal sets are one node. A null doc_id is kept as a row; its component_id is its group's least id, null if there is none.
-    Other columns are not read.
+    nothing. Equal sets are one node. A null doc_id is kept as a row with the component of a named row of the same set; a set that only
+    such rows have links with no other, and its component_id is null. Rows that repeat an id stay rows, and link whatever one of them
+    links. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -133,14 +175,21 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler, keys, known, held = Shingler(words), [], set(), 0
         names = ["doc_id", "n", "cls", "more", "s0", "s1", "s2", "s3", "heavy", "wide"]
+
+        def frequent() -> pa.RecordBatch:
+            k, n = np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)]), return_counts=True)
+            often = n >= max(3, len(known) // (2 * FREQUENT))
+            k, n = k[often], n[often]
+            none, zero = pa.nulls(len(k), pa.int64()), pa.array(np.zeros(len(k), np.int64))
+            return pa.RecordBatch.from_arrays([none, pa.array(n), _signed(k), *[zero] * 5, pa.array(np.ones(len(k), np.int64)), pa.nulls(len(k), pa.list_(pa.int64()))], names=names)
+
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 few = b.slice(at, 2048)
-                ints, keys, known, wide = np.zeros((7, few.num_rows), np.int64), [], set(), [None] * few.num_rows
-                for i, text in enumerate(few.column(1).to_pylist()):
-                    h = shingler.set_of(text)
+                ints, wide = np.zeros((7, few.num_rows), np.int64), [None] * few.num_rows
+                for i, h in enumerate(shingler.sets(few.column(1))):
                     ints[0, i] = len(h)
                     if len(h):
                         ints[1:3, i] = cls = _group_of(h)
@@ -148,17 +197,20 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
                         wide[i] = _wide(h)
                         if cls not in known:
                             known.add(cls)
-                            keys += [_blocks(h, band) for band, _ in _bands(len(h), num, den)]
+                            own = [_blocks(h, band) for band, _ in _bands(len(h), num, den)]
+                            keys += own
+                            held += sum(map(len, own))
                 yield pa.RecordBatch.from_arrays([few.column(0), *map(pa.array, ints), pa.nulls(few.num_rows, pa.int64()), pa.array(wide, pa.list_(pa.int64()))], names=names)
-                k, n = np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)]), return_counts=True)
-                often = n >= max(4, len(known) // 256)
-                yield pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), pa.int64()), pa.array(n[often]), _signed(k[often]), *[pa.array(np.zeros(int(often.sum()), np.int64))] * 5, pa.array(np.ones(int(often.sum()), np.int64)), pa.nulls(int(often.sum()), pa.list_(pa.int64()))], names=names)
+                if held > HELD:
+                    yield frequent()
+                    keys, known, held = [], set(), 0
+        yield frequent()
 
     found = scratch.write(rows.mapInArrow(describe, "doc_id long, n long, cls long, more long, s0 long, s1 long, s2 long, s3 long, heavy long, wide array<long>"), "described")
     described = found.where("heavy is null").drop("wide")
     total = described.count()
-    # Keys that one set in 256 has: at most 256 times the mean number of keys of a set, whatever the corpus.
-    frequent = found.where("heavy = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // 256)).select("cls").collect()
+    # At most FREQUENT times the mean number of keys of a set, whatever the corpus.
+    frequent = found.where("heavy = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // FREQUENT)).select("cls").collect()
     heavy = spark.sparkContext.broadcast(np.sort(np.array([r["cls"] for r in frequent], np.int64).view(np.uint64)))
     sets = scratch.write(described.where("n > 0").groupBy("n", "cls", "more").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in ("s0", "s1", "s2", "s3")]), "sets")
 
@@ -167,8 +219,7 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 keys, nodes, known = [], [], set()
-                for text in b.column(1).slice(at, 2048).to_pylist():
-                    h = shingler.set_of(text)
+                for h in shingler.sets(b.column(1).slice(at, 2048)):
                     if len(h) and (cls := _group_of(h)[0]) not in known:
                         known.add(cls)
                         keys.append(_shown(h, late, num, den))
@@ -190,31 +241,31 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
             yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (k, firsts, c)], names=["key", "first", "cls"])
             key, first, last = k[-1], firsts[-1], c[-1]
 
-    met = scratch.write(rows.mapInArrow(show, "key long, cls long").repartition("key").sortWithinPartitions("key", "cls").mapInArrow(runs, "key long, first long, cls long"), "met")
+    met = scratch.write(rows.mapInArrow(show, "key long, cls long").repartition("key").sortWithinPartitions("key", "cls").mapInArrow(runs, "key long, first long, cls long"), "met", free=True)
 
     distance = sum(F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in ("s0", "s1", "s2", "s3"))
     may_link = F.expr(f"{den} * least(an, bn) >= {num} * greatest(an, bn)") & (distance * (den + num) <= (F.col("an") + F.col("bn")) * (den - num))
 
     def verified(near: DataFrame, name: str) -> DataFrame:
         """Of pairs (u, v, ru, rv) of sets and their least doc_ids those that link, as the ids (u, v)."""
-        bit = F.pmod(F.col("cls"), F.lit(FILTER_BITS)) + 1
         wanted = near.selectExpr("explode(array(u, v)) AS cls")
-        maps = wanted.groupBy(F.expr(f"bitmap_bucket_number(pmod(cls, {FILTER_BITS}L) + 1)").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # FILTER_BITS bits
-        table = np.zeros(FILTER_BITS // 8, np.uint8)
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * near.count()).bit_length()))
+        bit = F.pmod(F.col("cls"), F.lit(bits)) + 1
+        maps = wanted.groupBy(F.expr(f"bitmap_bucket_number(pmod(cls, {bits}L) + 1)").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toLocalIterator()
+        table = np.zeros(bits // 8, np.uint8)
         for r in maps:
             table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
         if not table.any():
             return near.selectExpr("ru AS u", "rv AS v").limit(0)
-        may = spark.sparkContext.broadcast(np.unpackbits(table, bitorder="little").astype(bool))
+        may = spark.sparkContext.broadcast(table)
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler(words)
             for b in batches:
                 for at in range(0, b.num_rows, 1024):
                     ids, nodes, parts = [], [], []
-                    for doc, text in zip(b.column(0).slice(at, 1024).to_pylist(), b.column(1).slice(at, 1024).to_pylist()):
-                        h = shingler.set_of(text)
-                        if len(h) and may.value[(cls := _group_of(h)[0]) % FILTER_BITS]:
+                    for doc, h in zip(b.column(0).slice(at, 1024).to_pylist(), shingler.sets(b.column(1).slice(at, 1024))):
+                        if len(h) and may.value[(cls := _group_of(h)[0]) % bits >> 3] >> (cls % bits & 7) & 1:
                             ids.append(doc)
                             nodes.append(cls)
                             parts.append(h)
@@ -228,21 +279,24 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
         common = both.select("ru", "rv", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("s"))
         return common.where(f"{den} * i >= {num} * (s - i)").selectExpr("ru AS u", "rv AS v").distinct()
 
-    wide = found.where("heavy is null AND wide is not null")
-    sketch = lambda p, q: wide.select(F.col("cls").alias(q), F.col("doc_id").alias("r" + q), F.col("n").alias(p + "n"), F.col("wide").alias(p + "w"))
     half = lambda x: f"if(size({x}) > least(size(aw), size(bw)), zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p ^ q), {x})"
     apart_bits = f"aggregate(zip_with({half('aw')}, {half('bw')}, (p, q) -> bit_count(p ^ q)), 0, (t, x) -> t + x)"
+    #: Larger sets are told apart by their wide sketches too.
+    wide_too = F.expr(f"CASE WHEN aw IS NULL OR bw IS NULL THEN true ELSE {apart_bits} * {den + num} <= (an + bn) * {den - num} END")
+    wide = found.where("heavy is null AND wide is not null AND doc_id is not null").select("cls", F.col("doc_id").alias("rep"), "n", "wide")
+    sketch = lambda p, q: wide.select(F.col("cls").alias(q), F.col("rep").alias("r" + q), F.col("n").alias(p + "n"), F.col("wide").alias(p + "w"))
 
     def screened(near: DataFrame) -> DataFrame:
         """Pairs (u, v, ru, rv) without those of larger sets whose wide sketches are too far apart."""
         both = near.join(sketch("a", "u"), ["u", "ru"], "left").join(sketch("b", "v"), ["v", "rv"], "left")
-        return both.where(f"aw IS NULL OR bw IS NULL OR {apart_bits} * {den + num} <= (an + bn) * {den - num}").select("u", "v", "ru", "rv").distinct()
+        return both.where(wide_too).select("u", "v", "ru", "rv").distinct()
 
     sized = lambda p, q: sets.select(*[F.col(c).alias(p + c) for c in sets.columns if c not in ("cls", "more")], F.col("cls").alias(q))
     star = met.selectExpr("first AS u", "cls AS v").distinct().join(sized("a", "u"), "u").join(sized("b", "v"), "v").where(may_link)
     star = scratch.write(screened(star.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv"))), "star")
-    # A set meets a first set under each of its keys; comparing it with one of them mostly joins it to its group.
-    once = scratch.write(star.groupBy("v").agg(F.min(F.struct("u", "ru", "rv")).alias("x")).select("v", "x.u", "x.ru", "x.rv"), "once")
+    # A set meets a first set under each of its keys; comparing it with two of them mostly joins it to its group.
+    first = lambda f: star.groupBy("v").agg(f(F.struct("u", "ru", "rv")).alias("x")).select("v", "x.u", "x.ru", "x.rv")
+    once = scratch.write(first(F.min).union(first(F.max)).distinct(), "once")
     linked = scratch.write(verified(once, "once"), "linked")
     scratch.drop("once_sets")
     roots = components(scratch, linked)
@@ -252,17 +306,16 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
     # Sets that meet under a key and are still apart after that: all their pairs but those with the key's first set, which are done.
     placed_sets = scratch.write(sets.select("cls", "rep", "n", "s0", "s1", "s2", "s3").join(root_of("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed_sets")
     # Rows stay narrow until it is known which keys hold sets of several groups.
-    placed = scratch.write(met.select("key", "cls").join(placed_sets.select("cls", "root"), "cls"), "placed")
+    placed = scratch.write(met.select("key", "cls").join(placed_sets.select("cls", "root"), "cls"), "placed", free=True)
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    apart = scratch.write(placed.join(mixed, "key").select("key", "cls").join(placed_sets, "cls"), "apart")
+    apart = placed.join(mixed, "key").select("key", "cls").join(placed_sets, "cls").join(wide.select("cls", "rep", F.col("wide").alias("w")).distinct(), ["cls", "rep"], "left")
+    apart = scratch.write(apart, "apart", free=True)
     scratch.drop("placed", "met")
-    # Two folded words of the sketch, themselves parities, are enough to keep unlike sets of a key apart; whole sketches follow.
-    side = lambda p, q: apart.select("key", F.col("cls").alias(q), F.col("root").alias(p + "root"), F.col("n").alias(p + "n"), F.expr("s0 ^ s2").alias(p + "f0"), F.expr("s1 ^ s3").alias(p + "f1"))
-    folded = F.expr(f"{den} * least(an, bn) >= {num} * greatest(an, bn) AND (bit_count(af0 ^ bf0) + bit_count(af1 ^ bf1)) * {den + num} <= (an + bn) * {den - num}")
-    pairs = side("a", "u").join(side("b", "v").withColumnRenamed("key", "other"), (F.col("key") == F.col("other")) & F.expr("u < v AND aroot <> broot") & folded).select("u", "v").distinct()
-    pairs = pairs.join(sized("a", "u"), "u").join(sized("b", "v"), "v").where(may_link).select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv"))
-    rest = scratch.write(pairs.union(left_over).distinct(), "rest_pairs")
-    rest = scratch.write(screened(rest), "rest")
+    kept = ("rep", "root", "n", "s0", "s1", "s2", "s3", "w")
+    side = lambda p, q: apart.select(F.col("key").alias(p + "key"), F.col("cls").alias(q), *[F.col(c).alias(p + c) for c in kept])
+    pairs = side("a", "u").join(side("b", "v"), (F.col("akey") == F.col("bkey")) & F.expr("u < v AND aroot <> broot") & may_link & wide_too)
+    pairs = pairs.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv"))
+    rest = scratch.write(pairs.union(left_over).distinct(), "rest", free=True)
     more = scratch.write(verified(rest, "rest"), "more")
     scratch.drop("rest_sets", "apart")
     if not more.isEmpty():
