@@ -263,11 +263,12 @@ def fit_weights(x: np.ndarray, y: np.ndarray, prior: list[float], pull: float =
     return w.tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 2_000, least_docs: int = 4, odds: float = 25.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least_docs: int = 4, odds: float = 25.0) -> Model:
     """Learns from at most ``sample`` labelled rows that may be learned from (the first by a hash of doc_id; the documented bound).
 
     Null labels and labels without a document teach nothing; a doc_id labelled twice counts as toxic if one label says so. Without
-    labels of both kinds the lexicon is empty and every document gets the same low score.
+    labels of both kinds the lexicon is empty and every document gets the same low score. Each term stands in a share of the sample's toxic
+    documents, so the sample bounds the terms that reach the driver.
     """
     spark = docs.sparkSession
     marked = labels.where(F.col("toxic").isNotNull() & learnable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -291,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int =
     counts = known.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     n_toxic, n_clean = max(1, sum(chosen.values())), max(1, len(chosen) - sum(chosen.values()))
     rate = (F.col("a") / n_toxic) / ((F.col("b") + 0.5) / n_clean)
-    found = counts.where((F.col("term") != "") & (F.col("a") >= max(least_docs, 0.004 * n_toxic)) & (rate >= odds)).orderBy(F.desc("a"), "b", "term").limit(terms).collect()
+    found = counts.where((F.col("term") != "") & (F.col("a") >= max(least_docs, 0.004 * n_toxic)) & (rate >= odds)).collect()
     stems = sorted({r["term"][:-1] for r in found if r["term"].endswith("*") and r["a"] >= 25 * (r["b"] + 0.5)})
     plain = [r["term"] for r in found if not r["term"].endswith("*")]
     whole = [(r["term"], r["a"]) for r in found if not r["term"].endswith("*")]
