@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import struct
 import zlib
@@ -178,7 +179,7 @@ def test_embedding_dedup(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 24))
     x = np.concatenate([base, base[:20] + 0.2 * rng.standard_normal((20, 24)), base[:5], base[0] + 0.15 * rng.standard_normal((700, 24))])
-    bad = [None, [], [0.0] * 24, [float("nan")] * 24, [None] * 24, [1.0, 2.0]]
+    bad = [None, [], [0.0] * 24, [float("nan")] * 24, [None] * 24, [1.0, 2.0], [float("inf")] * 24]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(len(x) + i, v, 1) for i, v in enumerate(bad)]
     got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep int")).collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -190,20 +191,70 @@ def test_embedding_dedup(spark):
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(len(x), len(rows)))
 
 
-def test_suffix_dedup(docs, empty):
-    length, count = 50, defaultdict(int)
-    data = [(t or "").encode() for t in sample_texts()]
+def test_embeddings_of_all_dimensions_and_at_the_threshold(spark):
+    """Pairs just above the threshold are found, pairs just below are not; shorter and longer vectors link among themselves; very large and small ones too."""
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+
+    def add(x, y):
+        rows.extend([(len(rows), x.tolist()), (len(rows) + 1, y.tolist())])
+        want.append(x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95)
+
+    for i in range(1200):
+        dim = 64 if i < 1000 else (3, 48, 200)[i % 3]
+        x, y = rng.standard_normal((2, dim))
+        x /= np.linalg.norm(x)
+        y -= x * (x @ y)
+        cos = rng.uniform(0.951, 0.96) if i % 4 else rng.uniform(0.94, 0.949)
+        add(x, cos * x + math.sqrt(1 - cos * cos) * y / np.linalg.norm(y))
+    rows += [(len(rows), [1e200, 2e200, 3e200]), (len(rows) + 1, [1e-200, 2e-200, 3e-200]), (len(rows) + 2, [-1e200, -2e200, -3e200]), (None, [1.0, 2.0, 3.0])]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    pairs = [(got[2 * i]["component_id"] == got[2 * i + 1]["component_id"], w) for i, w in enumerate(want) if len(rows[2 * i][1]) > 3]
+    assert not any(g and not w for g, w in pairs) and sum(g for g, w in pairs if w) >= 0.98 * sum(w for _, w in pairs)
+    flat = [(i, np.array(v)) for i, v in rows if i is not None and len(v) == 3]
+    unit = {i: v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for i, v in flat}
+    links = {i: sum(unit[i] @ unit[j] >= 0.95 for j, _ in flat) - 1 for i, _ in flat}
+    assert all(got[i]["n_links"] <= n for i, n in links.items()) and sum(got[i]["n_links"] for i in links) >= 0.98 * sum(links.values())
+    assert got[len(rows) - 3]["component_id"] == got[len(rows) - 4]["component_id"] and (got[None]["n_links"], got[None]["component_id"]) == (0, None)
+    nothing = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert embedding_dedup.near_duplicates(nothing).count() == 0
+
+
+def brute_repeats(data, length):
+    count, out = defaultdict(int), {}
     for t in data:
         for k in range(len(t) - length + 1):
             count[t[k : k + length]] += 1
-    want = {}
     for i, t in enumerate(data):
         gone = bytearray(len(t))
         for k in range(len(t) - length + 1):
             if count[t[k : k + length]] > 1:
                 gone[k : k + length] = b"\1" * length
         spans = sum(g and not p for p, g in zip(b"\0" + gone, gone))
-        want[i] = (len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest())
+        out[i] = (len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("group", [4096, 3])
+def test_suffix_dedup_of_a_passage_in_many_surroundings(spark, monkeypatch, group):
+    """At the length of production: one passage among texts that agree in none, one or both of its sides; with a bound of 3 versions they are dealt out."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "ARRAY", 4000)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, sides = text(120), [text(300) for _ in range(4)]
+    texts = [text(150) + passage + text(150) for _ in range(12)]
+    for n in (0, 39, 40, 79, 80, 81, 120, 160, 300):
+        for side in sides[:2]:
+            texts += [text(200 + n) + side[len(side) - n :] + passage + sides[2][: max(0, 80 - n)] + text(170), text(180) + side[len(side) - n :] + passage + sides[3][:n] + text(150)]
+    texts += ["ab" * 400, "ab" * 300 + "c", texts[0], text(199), text(200), "Ü" * 150, "xÜ" * 90]
+    got = suffix_dedup.remove_repeats(frame(spark, texts), 200).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats([t.encode() for t in texts], 200)
+
+
+def test_suffix_dedup(docs, empty):
+    length = 50
+    want = brute_repeats([(t or "").encode() for t in sample_texts()], length)
     got = suffix_dedup.remove_repeats(docs, length).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
     assert suffix_dedup.remove_repeats(empty).count() == 0
@@ -216,6 +267,19 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(np.frombuffer(data, np.uint8), 256).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
 
 
+def test_suffix_array_of_groups_and_chosen_suffixes():
+    rng = random.Random(5)
+    for _ in range(60):
+        letters = rng.choice([1, 2, 20])
+        texts = [bytes(rng.randrange(1, 1 + letters) for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(1, 12))]
+        data = b"".join(t + b"\0" for t in texts)
+        row = [i for i, t in enumerate(texts) for _ in range(len(t) + 1)]
+        group = [r // 3 for r in row]
+        wanted = [rng.random() < 0.3 and data[i] > 0 for i in range(len(data))]
+        got = suffix_dedup.suffix_array(np.frombuffer(data, np.uint8), 256, None, np.array(group), np.array(wanted)).tolist()
+        assert [i for i in got if wanted[i]] == sorted((i for i in range(len(data)) if wanted[i]), key=lambda i: (group[i], data[i:]))
+
+
 def test_line_dedup(docs, empty):
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
     texts = sample_texts()
@@ -236,11 +300,20 @@ def test_line_dedup(docs, empty):
 
 
 def test_fuzzy_lines(spark):
-    """One changed letter in 60 words: found where two of the five SimHash blocks stay whole, which is most of the time; unlike lines never go."""
+    """One changed letter in 60 words is found; unlike lines never go."""
     rng = random.Random(8)
     lines = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(40)]
     out = line_dedup.dedup_lines(frame(spark, [x for line in lines for x in (line, line[:100] + "x" + line[101:])])).orderBy("doc_id").collect()
-    assert sum(r["n_removed"] for r in out[::2]) == 0 and sum(r["n_removed"] for r in out[1::2]) >= 24
+    assert sum(r["n_removed"] for r in out[::2]) == 0 and sum(r["n_removed"] for r in out[1::2]) == 40
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
 
 
 def test_near_lines_of_every_length(spark):
@@ -256,16 +329,8 @@ def test_near_lines_of_every_length(spark):
                 near = near[:at] + rng.choice(["z", "z" + near[at], ""]) + near[at + 1 :]
             pairs.append((m, i % 2, base, near))
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
     normal = [(m, one, " ".join(a.split()), " ".join(b.split())) for m, one, a, b in pairs]
-    near = [10 * distance(a, b) <= max(len(a), len(b)) for _, _, a, b in normal]
+    near = [10 * edit_distance(a, b) <= max(len(a), len(b)) for _, _, a, b in normal]
     out = line_dedup.dedup_lines(frame(spark, [x for _, _, a, b in normal for x in (a, b)])).orderBy("doc_id").collect()
     gone = [r["n_removed"] for r in out[1::2]]
     assert sum(r["n_removed"] for r in out[::2]) == 0 and sum(near) > 180 and not any(g for g, n in zip(gone, near) if not n)
@@ -273,19 +338,33 @@ def test_near_lines_of_every_length(spark):
     assert len(missed) <= 2 and not any(one or length < 90 for _, one, length in missed), missed
 
 
-def test_simhash_majorities(spark):
-    """Bits and lengths against a count by hand, for lines below and above one row of counters, and for rows that occur twice."""
-    rng = random.Random(3)
-    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(n)) for n in (1, 2, 7, 126, 127, 128, 300, 1000)]
-    rows = [(i, 0, i, 0, t.split()) for i, t in enumerate(texts)]
-    lines = spark.createDataFrame(rows + [(100 + r[0], *r[1:]) for r in rows], "r long, o long, k long, pos int, words array<string>")
-    got = {r["k"]: (r["sim"], r["len"]) for r in line_dedup.simhashes(line_dedup._counted(lines)).collect()}
-    words = sorted({w for t in texts for w in t.split()})
-    code = {r["w"]: r["x"] & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("x")).collect()}
-    for i, t in enumerate(texts):
-        each = [code[w] for w in t.split()]
-        sim = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in each) > len(each))
-        assert got[i] == (sim - (1 << 64) * (sim >> 63), len(t))
+def test_bounds_of_line_pairs_lose_none(spark):
+    """Sketches, places and lengths of lines with all the edits allowed never part them; a group of near copies is found whole, and other columns stay."""
+    rng = random.Random(31)
+    base = "a quite ordinary line that somebody wrote about lists and other things of the day"
+    near = ["".join(c if rng.random() > 0.04 else rng.choice("aeiouxyz") for c in base) for _ in range(60)]
+    long = [" ".join([*base.split()[:k], f"w{k}", *base.split()[k:], base]) for k in range(12)]
+    texts = [*near, *long, "\n".join([base, near[0], "another line here"])]
+    rows = [(i, t, i, -i, f"g{i}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone long, k long, given string")
+    out = line_dedup.dedup_lines(docs).orderBy("doc_id").collect()
+    assert [(r["gone"], r["k"], r["given"]) for r in out] == [r[2:] for r in rows]
+    lines = [(i, k, line) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n"))]
+    close = lambda a, b: 10 * edit_distance(a, b) <= max(len(a), len(b))
+    norm = [" ".join(x.split()) for _, _, x in lines]
+    want = roots([(i, j) for i in range(len(norm)) for j in range(i) if close(norm[i], norm[j])], range(len(norm)))
+    assert [(i, k) for n, (i, k, _) in enumerate(lines) if want[n] != n] == [(r["doc_id"], k) for r in out for k in r["removed"]]
+
+
+def test_long_and_empty_lines(spark, empty):
+    """A line of 60,000 characters and one without spaces; texts without words; extra columns of an empty table."""
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(10_000))
+    solid = "".join(rng.choice("abcdefgh") for _ in range(3_000))
+    texts = [long, long[:30_000] + "x" + long[30_000:], solid, solid[:1500] + "xyz" + solid[1500:], "", None, "\n\n", "... !", "... !"]
+    out = line_dedup.dedup_lines(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in out] == [0, 1, 0, 1, 0, 0, 0, 0, 0] and [r["n_lines"] for r in out] == [1, 1, 1, 1, 1, 0, 3, 1, 1]
+    assert line_dedup.dedup_lines(empty).columns == [*(c for c in empty.columns if c != "removed"), "n_lines", "n_removed", "removed"]
 
 
 def test_lines_of_equal_rows(spark):
