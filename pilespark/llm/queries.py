@@ -36,7 +36,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_candidates, n_secrets, findings (candidate, score), masked_sha256 of the text with secrets replaced (null text: null)."""
+    """doc_id, n_candidates, n_secrets, findings (at, n_chars, sha256, score), masked_sha256 of the text with secrets replaced (null text: null)."""
     out = secret_scan.find(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "n_candidates", "n_secrets", "findings", F.sha2("text", 256).alias("masked_sha256"))
 

@@ -153,10 +153,12 @@ def _forest_of(spark: SparkSession, count: int) -> tuple:
 def find(docs: DataFrame, least: float = 0.5, training: int = 4000, text_column: str = "text", path_column: str | None = "source") -> DataFrame:
     """All columns of docs, with secrets in the text replaced by ``[SECRET]``, and n_candidates, n_secrets, findings.
 
-    findings: array of (candidate, score), distinct candidates longest first; a candidate is a secret if its score is ``least`` or more. Each place
+    findings: array of (at, n_chars, sha256, score), distinct candidates longest first: the first place of the candidate in the text (from 0), its length,
+    the hash by which it is known without being told, and its score. A candidate is a secret if its score is ``least`` or more. Each place
     where a pattern finds it is scored with its own surroundings, and the highest score counts; all occurrences are replaced. The forest is trained on
     ``training`` findings made by rule.
-    A null text stays null and has no candidates; new columns replace given ones of the same name; without ``path_column`` the path is empty.
+    A null text stays null and has no candidates, an empty one has none; an empty table gives no rows; equal rows get equal results. New columns
+    replace given ones of the same name; all other columns, whatever their names, are returned as they are. Without ``path_column`` the path is empty.
     """
     spark = docs.sparkSession
     forest = list(_forest_of(spark, training))
@@ -166,17 +168,20 @@ def find(docs: DataFrame, least: float = 0.5, training: int = 4000, text_column:
     found = F.concat(*[F.arrays_zip(b.alias("before"), c.alias("candidate"), a.alias("after")) for b, c, a in groups])
 
     def measured(x: Column) -> Column:
-        return F.struct(x["candidate"].alias("candidate"), features(x["candidate"], x["before"], x["after"], F.col("_path")).alias("f"))
+        return F.struct(x["candidate"].alias("candidate"), features(x["candidate"], x["before"], x["after"], F.col("path")).alias("f"))
 
     def ordered(x: Column) -> Column:
         return F.struct((-F.length(x["candidate"])).alias("n"), x["candidate"].alias("candidate"), (-forest_score(forest, x["f"])).alias("s"))
 
+    # One struct holds what is given, so that no name of it meets one of ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), path.alias("path"), text.alias("whole"), found.alias("found"))
     # Of a candidate's places the highest score comes first.
-    scored = docs.withColumn("_path", path).withColumn("_text", text).withColumn("_found", found)
-    scored = scored.withColumn("_found", F.sort_array(F.transform(F.transform("_found", measured), ordered)))
-    best = F.filter("_found", lambda x, i: (i == 0) | (F.col("_found")[F.greatest(i - 1, F.lit(0))]["candidate"] != x["candidate"]))
-    scored = scored.withColumn("findings", F.transform(best, lambda x: F.struct(x["candidate"].alias("candidate"), (-x["s"]).alias("score"))))
-    secret = F.filter("findings", lambda x: x["score"] >= least)
-    scored = scored.withColumn("n_candidates", F.size("findings")).withColumn("n_secrets", F.size(secret))
-    clean = F.aggregate(secret, F.col("_text"), lambda t, x: F.replace(t, x["candidate"], F.lit("[SECRET]")))
-    return scored.withColumn(text_column, F.when(F.col("n_secrets") > 0, clean).otherwise(F.col(text_column))).drop("_text", "_path", "_found")
+    rows = rows.withColumn("found", F.sort_array(F.transform(F.transform("found", measured), ordered)))
+    best = F.filter("found", lambda x, i: (i == 0) | (F.col("found")[F.greatest(i - 1, F.lit(0))]["candidate"] != x["candidate"]))
+    rows = rows.withColumn("found", F.transform(best, lambda x: F.struct(x["candidate"].alias("candidate"), (-x["s"]).alias("score"))))
+    rows = rows.withColumn("secrets", F.transform(F.filter("found", lambda x: x["score"] >= least), lambda x: x["candidate"]))
+    clean = F.aggregate("secrets", F.col("whole"), lambda t, x: F.replace(t, x, F.lit("[SECRET]")))
+    told = lambda x: F.struct((F.instr(F.col("whole"), x["candidate"]) - 1).alias("at"), F.length(x["candidate"]).alias("n_chars"), F.sha2(x["candidate"], 256).alias("sha256"), x["score"].alias("score"))
+    new = {"n_candidates": F.size("found"), "n_secrets": F.size("secrets"), "findings": F.transform("found", told)}
+    old = {c: F.col("given")[c] for c in docs.columns if c not in new} | {text_column: F.when(F.size("secrets") > 0, clean).otherwise(F.col("given")[text_column])}
+    return rows.select(*[v.alias(c) for c, v in (old | new).items()])

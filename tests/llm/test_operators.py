@@ -396,6 +396,26 @@ def test_secret_scan(spark, empty):
     assert [r["n_secrets"] for r in out] == [1, 1, 0, 0, 0, 0, 0] and out[0]["text"] == 'so token = "[SECRET]" here'
     assert [r["text"] for r in out[2:]] == texts[2:] and out[2]["n_candidates"] == 1
     assert secret_scan.find(empty).count() == 0
+    first = out[0]["findings"][0]
+    assert (first["at"], first["n_chars"], first["sha256"]) == (texts[0].index(token), len(token), hashlib.sha256(token.encode()).hexdigest()) and token not in str(out[0])
+    names = ["path", "whole", "found", "secrets", "given", "text"]
+    row = secret_scan.find(spark.createDataFrame([("p", "w", "f", "s", "g", texts[0])], names)).first()
+    assert [row[c] for c in names] == ["p", "w", "f", "s", "g", 'so token = "[SECRET]" here']
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    """Precision and recall on findings drawn anew, and on one kind that training never has: assigned values among words, hashes without a name."""
+    forest = list(secret_scan._forest_of(spark, 4000))
+    rng = random.Random(99)
+    pick = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = secret_scan.labelled_findings(1500, seed=77)
+    rows += [(pick(26), f"export {rng.choice(['AUTH_TOKEN', 'CLIENT_SECRET'])}=", "", "deploy", 1) for _ in range(150)]
+    rows += [("".join(rng.choice("0123456789abcdef") for _ in range(40)), "see revision ", " of the tree", "notes", 0) for _ in range(150)]
+    frame_ = spark.createDataFrame(rows, "c string, b string, a string, p string, label int")
+    row = secret_scan.features(F.col("c"), F.col("b"), F.col("a"), F.col("p"))
+    got = frame_.select("label", (secret_scan.forest_score(forest, row) >= 0.5).cast("int").alias("told")).collect()
+    hit, said, real = sum(r["label"] and r["told"] for r in got), sum(r["told"] for r in got), sum(r["label"] for r in got)
+    assert hit >= 0.95 * said and hit >= 0.95 * real
 
 
 def test_secrets_of_any_length(spark):
