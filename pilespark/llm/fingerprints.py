@@ -123,8 +123,9 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def edited_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text, and how alike they are; see ``queries`` for the edit.
+    """Fingerprints of each text and of its edited text, and how alike they are.
 
+    The edit replaces the last quarter of a text's code points (rounded down) by as many of the next document's first ones, or all it has.
     The next document is the next by id (nulls first; equal ids by text), of the last the first. A table of one document is its own
     next. Columns other than the two named are not read; an empty table gives no rows.
     """

@@ -13,7 +13,7 @@ from struct import pack
 
 from tokenizers import Tokenizer
 
-#: Below this code point the classes of both regex engines agree (tests/llm/test_tokens.py compares them).
+#: Below this code point the classes of both regex engines agree (test_encoder_equals_library compares them).
 LATIN = 0x180
 #: Pieces in each of the cache's two generations.
 CACHE = 250_000

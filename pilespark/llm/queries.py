@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, read back from the files written."""
     path = Scratch(spark, "tokens").path("ids")
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(WORD), END_ID)
     return token_output.digests(token_output.read_tokens(spark, path))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE), END_ID, 1024)
 
 
@@ -42,10 +44,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept at cosine 0.95."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for strings of 200 bytes."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 200)
 
 
@@ -59,6 +63,7 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id at five words and a similarity of 0.8."""
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
 
