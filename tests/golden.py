@@ -1,4 +1,4 @@
-"""Thirteen invented reads and the output lines that they must give."""
+"""Thirteen invented reads, and the sites and output lines that they must give: these two are fixed golden values of the format."""
 
 SITES = "chr1\t924730\t924730\nchr1\t930299\t930299\nchr1\t944753\t944753\n"
 _R05, _R11 = "30x20 5x1 30x19 22x1 30x9", "30x20 5x1 30x9 22x1 30x19"
