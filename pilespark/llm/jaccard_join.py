@@ -28,6 +28,8 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 FREQUENT, HELD = 1024, 1_500_000
 #: Sets from this size on have a second sketch of four to eight parities a shingle: 256 parities say little of a difference that may be as large.
 WIDE = 64
+#: Least keys of a set that are known beside each of its keys.
+LEAST_KEYS = 6
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -228,7 +230,7 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "cls"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each key shown by several sets: the least of them, and each of the others."""
+        """Of each key shown by several sets: the first of them, in an order of the key's own, and each of the others."""
         key = first = last = None
         for b in batches:
             k, c = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -241,7 +243,7 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
             yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (k, firsts, c)], names=["key", "first", "cls"])
             key, first, last = k[-1], firsts[-1], c[-1]
 
-    met = scratch.write(rows.mapInArrow(show, "key long, cls long").repartition("key").sortWithinPartitions("key", "cls").mapInArrow(runs, "key long, first long, cls long"), "met", free=True)
+    met = scratch.write(rows.mapInArrow(show, "key long, cls long").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "cls"), "cls").mapInArrow(runs, "key long, first long, cls long"), "met", free=True)
 
     distance = sum(F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in ("s0", "s1", "s2", "s3"))
     may_link = F.expr(f"{den} * least(an, bn) >= {num} * greatest(an, bn)") & (distance * (den + num) <= (F.col("an") + F.col("bn")) * (den - num))
@@ -308,12 +310,16 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
     # Rows stay narrow until it is known which keys hold sets of several groups.
     placed = scratch.write(met.select("key", "cls").join(placed_sets.select("cls", "root"), "cls"), "placed", free=True)
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    apart = placed.join(mixed, "key").select("key", "cls").join(placed_sets, "cls").join(wide.select("cls", "rep", F.col("wide").alias("w")).distinct(), ["cls", "rep"], "left")
+    shared = scratch.write(placed.join(mixed, "key").select("key", "cls"), "shared")
+    # A set's least keys: two sets that have one of them in common meet under the least such key alone, not under every key that they share.
+    least = shared.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("least"))
+    apart = shared.join(placed_sets.join(least, "cls"), "cls").join(wide.select("cls", "rep", F.col("wide").alias("w")).distinct(), ["cls", "rep"], "left")
     apart = scratch.write(apart, "apart", free=True)
-    scratch.drop("placed", "met")
-    kept = ("rep", "root", "n", "s0", "s1", "s2", "s3", "w")
+    scratch.drop("placed", "shared", "met")
+    kept = ("rep", "root", "n", "s0", "s1", "s2", "s3", "least", "w")
     side = lambda p, q: apart.select(F.col("key").alias(p + "key"), F.col("cls").alias(q), *[F.col(c).alias(p + c) for c in kept])
-    pairs = side("a", "u").join(side("b", "v"), (F.col("akey") == F.col("bkey")) & F.expr("u < v AND aroot <> broot") & may_link & wide_too)
+    first_meeting = "NOT exists(aleast, x -> x < akey AND array_contains(bleast, x))"
+    pairs = side("a", "u").join(side("b", "v"), (F.col("akey") == F.col("bkey")) & F.expr("u < v AND aroot <> broot") & may_link & F.expr(first_meeting) & wide_too)
     pairs = pairs.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv"))
     rest = scratch.write(pairs.union(left_over).distinct(), "rest", free=True)
     more = scratch.write(verified(rest, "rest"), "more")
