@@ -310,12 +310,12 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
     # Rows stay narrow until it is known which keys hold sets of several groups.
     placed = scratch.write(met.select("key", "cls").join(placed_sets.select("cls", "root"), "cls"), "placed", free=True)
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    shared = scratch.write(placed.join(mixed, "key").select("key", "cls"), "shared")
+    shared = scratch.write(placed.join(mixed, "key").select("key", "cls"), "shared", free=True)
+    # The wide rows below are not written: both sides of their join read one exchange.
     # A set's least keys: two sets that have one of them in common meet under the least such key alone, not under every key that they share.
     least = shared.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("least"))
     apart = shared.join(placed_sets.join(least, "cls"), "cls").join(wide.select("cls", "rep", F.col("wide").alias("w")).distinct(), ["cls", "rep"], "left")
-    apart = scratch.write(apart, "apart", free=True)
-    scratch.drop("placed", "shared", "met")
+    scratch.drop("placed", "met")
     kept = ("rep", "root", "n", "s0", "s1", "s2", "s3", "least", "w")
     side = lambda p, q: apart.select(F.col("key").alias(p + "key"), F.col("cls").alias(q), *[F.col(c).alias(p + c) for c in kept])
     first_meeting = "NOT exists(aleast, x -> x < akey AND array_contains(bleast, x))"
@@ -323,7 +323,7 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
     pairs = pairs.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv"))
     rest = scratch.write(pairs.union(left_over).distinct(), "rest", free=True)
     more = scratch.write(verified(rest, "rest"), "more")
-    scratch.drop("rest_sets", "apart")
+    scratch.drop("rest_sets", "shared")
     if not more.isEmpty():
         roots = components(scratch, linked.union(more), "cc2_")
     nodes = described.join(sets.select("n", "cls", "more", "rep"), ["n", "cls", "more"], "left").select("doc_id", "n", "rep")
