@@ -314,7 +314,8 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
     # The wide rows below are not written: both sides of their join read one exchange.
     # A set's least keys: two sets that have one of them in common meet under the least such key alone, not under every key that they share.
     least = shared.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("least"))
-    apart = shared.join(placed_sets.join(least, "cls"), "cls").join(wide.select("cls", "rep", F.col("wide").alias("w")).distinct(), ["cls", "rep"], "left")
+    known = placed_sets.join(least, "cls").join(wide.select("cls", "rep", F.col("wide").alias("w")).distinct(), ["cls", "rep"], "left")
+    apart = shared.join(known, "cls")
     scratch.drop("placed", "met")
     kept = ("rep", "root", "n", "s0", "s1", "s2", "s3", "least", "w")
     side = lambda p, q: apart.select(F.col("key").alias(p + "key"), F.col("cls").alias(q), *[F.col(c).alias(p + c) for c in kept])
