@@ -5,6 +5,7 @@ import json
 import math
 import random
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -356,6 +357,50 @@ def test_bounds_of_line_pairs_lose_none(spark):
     assert [(i, k) for n, (i, k, _) in enumerate(lines) if want[n] != n] == [(r["doc_id"], k) for r in out for k in r["removed"]]
 
 
+def test_pairs_compared_in_pieces(spark):
+    """The comparison of texts in pieces says what the distance says, whatever moved; its cost does not grow with the square of a text's length."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdeéfghij中") for _ in range(rng.randint(2, 8)))
+    pairs = []
+    for n in (30, 60, 90, 180):
+        for i in range(24):
+            a = " ".join(word() for _ in range(n))
+            b, share = a, rng.choice([0.02, 0.08, 0.1, 0.11, 0.3])
+            for _ in range(int(share * len(a))):
+                at = rng.randrange(len(b))
+                b = b[:at] + [rng.choice("xyz"), "z" + b[at], "", "zz" + b[at]][rng.randrange(4) if i % 3 else 2 * (i % 2)] + b[at + 1 :]
+            cut = rng.randrange(len(a))
+            pairs += [(a, b), (a, a[cut:] + a[:cut]), (a, a[: cut // 2] + a[cut // 2 + len(a) // 11 :])]
+    rows = spark.createDataFrame([(a, b, max(len(a), len(b)) // 10) for a, b in pairs], "a string, b string, most int")
+    out = rows.selectExpr(f"{line_dedup._alike('most')} AS said", "levenshtein(a, b, most) >= 0 AS right").collect()
+    assert all(r["said"] == r["right"] for r in out) and 40 < sum(r["right"] for r in out) < len(out) - 40
+    long = "".join(rng.choice("abcdefghij ") for _ in range(60_000))
+    near = "".join(c if rng.random() > 0.06 else c + "x" for c in long)
+    began = time.time()
+    assert spark.createDataFrame([(long, near, 6_000)], "a string, b string, most int").selectExpr(line_dedup._alike("most")).first()[0]
+    assert time.time() - began < 6
+
+
+def test_pairs_of_short_lines_made(spark):
+    """Short lines that share a run where neither has a piece are no pair; every pair within the similarity is one."""
+    rng = random.Random(43)
+    shared = "somethin"
+    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(12, 97))) for _ in range(150)]
+    lines = [x[:at] + shared + x[at:] for x in base if len(x) < 90 for at in [rng.randrange(len(x))]]
+    for x in base:
+        near, most = x, len(x) // 10
+        for _ in range(most):
+            at = rng.randrange(len(near))
+            near = near[:at] + rng.choice(["z", "z" + near[at], ""]) + near[at + 1 :]
+        lines += [x, near]
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(dict.fromkeys(lines))], "h long, norm string").selectExpr("h", "h AS root", "norm", "length(norm) AS len")
+    known = {r["h"]: r["norm"] for r in texts.collect()}
+    want = {(i, j) for i, a in known.items() for j, b in known.items() if i < j and abs(len(a) - len(b)) <= 10 and max(len(a), len(b)) < 100 and 10 * edit_distance(a, b) <= max(len(a), len(b))}
+    pieces, runs = line_dedup._exact_keys(texts, 0.9)
+    got = {(r["u"], r["v"]) for r in line_dedup._sharing_pieces(pieces, runs, line_dedup._near_pieces(0.9)).collect()}
+    assert len(want) > 100 and want <= got and len(got) < 1.5 * len(want)
+
+
 def test_long_and_empty_lines(spark, empty):
     """A line of 60,000 characters and one without spaces; texts without words; extra columns of an empty table."""
     rng = random.Random(2)
