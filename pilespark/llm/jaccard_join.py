@@ -28,6 +28,8 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 FREQUENT, HELD = 1024, 1_500_000
 #: Sets from this size on have a second sketch of four to eight parities a shingle: 256 parities say little of a difference that may be as large.
 WIDE = 64
+#: Rows of a written table up to which it is broadcast: 16 to 72 bytes each.
+BROADCAST_ROWS = 200_000
 #: Least keys of a set that are known beside each of its keys.
 LEAST_KEYS = 6
 
@@ -159,6 +161,11 @@ def _shown(h: np.ndarray, heavy: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for a broadcast if it has no more than ``limit`` rows."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -286,16 +293,20 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
     #: Larger sets are told apart by their wide sketches too.
     wide_too = F.expr(f"CASE WHEN aw IS NULL OR bw IS NULL THEN true ELSE {apart_bits} * {den + num} <= (an + bn) * {den - num} END")
     wide = found.where("heavy is null AND wide is not null AND doc_id is not null").select("cls", F.col("doc_id").alias("rep"), "n", "wide")
-    sketch = lambda p, q: wide.select(F.col("cls").alias(q), F.col("rep").alias("r" + q), F.col("n").alias(p + "n"), F.col("wide").alias(p + "w"))
 
-    def screened(near: DataFrame) -> DataFrame:
-        """Pairs (u, v, ru, rv) without those of larger sets whose wide sketches are too far apart."""
+    def screened(near: DataFrame, name: str) -> DataFrame:
+        """Pairs (u, v, ru, rv) without those of larger sets whose wide sketches are too far apart. Only sketches that a pair names are moved."""
+        near = scratch.write(near.distinct(), f"{name}_near")
+        named = scratch.write(near.selectExpr("explode(array(struct(u AS cls, ru AS rep), struct(v AS cls, rv AS rep))) AS x").select("x.*").distinct(), f"{name}_named")
+        few = scratch.write(wide.join(small(named), ["cls", "rep"], "left_semi"), f"{name}_wide")
+        sketch = lambda p, q: few.select(F.col("cls").alias(q), F.col("rep").alias("r" + q), F.col("n").alias(p + "n"), F.col("wide").alias(p + "w"))
         both = near.join(sketch("a", "u"), ["u", "ru"], "left").join(sketch("b", "v"), ["v", "rv"], "left")
         return both.where(wide_too).select("u", "v", "ru", "rv").distinct()
 
     sized = lambda p, q: sets.select(*[F.col(c).alias(p + c) for c in sets.columns if c not in ("cls", "more")], F.col("cls").alias(q))
     star = met.selectExpr("first AS u", "cls AS v").distinct().join(sized("a", "u"), "u").join(sized("b", "v"), "v").where(may_link)
-    star = scratch.write(screened(star.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv"))), "star")
+    star = scratch.write(screened(star.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv")), "star"), "star")
+    scratch.drop("star_near", "star_named", "star_wide")
     # A set meets a first set under each of its keys; comparing it with two of them mostly joins it to its group.
     first = lambda f: star.groupBy("v").agg(f(F.struct("u", "ru", "rv")).alias("x")).select("v", "x.u", "x.ru", "x.rv")
     once = scratch.write(first(F.min).union(first(F.max)).distinct(), "once")
@@ -313,8 +324,11 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
     shared = scratch.write(placed.join(mixed, "key").select("key", "cls"), "shared", free=True)
     # The wide rows below are not written: both sides of their join read one exchange.
     # A set's least keys: two sets that have one of them in common meet under the least such key alone, not under every key that they share.
-    least = shared.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("least"))
-    known = placed_sets.join(least, "cls").join(wide.select("cls", "rep", F.col("wide").alias("w")).distinct(), ["cls", "rep"], "left")
+    least = scratch.write(shared.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("least")), "least")
+    # Half of a wide sketch's parities go with each key: two to four a shingle. Below twice the least size they are the 256 that every set has.
+    folded = F.expr("zip_with(slice(wide, 1, size(wide) div 2), slice(wide, size(wide) div 2 + 1, size(wide) div 2), (p, q) -> p ^ q)")
+    halves = wide.where(f"n >= {2 * WIDE}").join(small(least.select("cls")), "cls", "left_semi").select("cls", "rep", folded.alias("w")).groupBy("cls", "rep").agg(F.first("w").alias("w"))
+    known = placed_sets.join(small(least), "cls").join(halves, ["cls", "rep"], "left")
     apart = shared.join(known, "cls")
     scratch.drop("placed", "met")
     kept = ("rep", "root", "n", "s0", "s1", "s2", "s3", "least", "w")
@@ -324,7 +338,7 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
     pairs = pairs.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv"))
     rest = scratch.write(pairs.union(left_over).distinct(), "rest", free=True)
     more = scratch.write(verified(rest, "rest"), "more")
-    scratch.drop("rest_sets", "shared")
+    scratch.drop("rest_sets", "shared", "least")
     if not more.isEmpty():
         roots = components(scratch, linked.union(more), "cc2_")
     nodes = described.join(sets.select("n", "cls", "more", "rep"), ["n", "cls", "more"], "left").select("doc_id", "n", "rep")

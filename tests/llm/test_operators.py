@@ -419,6 +419,27 @@ def test_lines_of_equal_rows(spark):
     assert [r["removed"] for r in out] == [[], [], [0]]
 
 
+def test_wide_sketches_moved(spark, monkeypatch):
+    """Wide sketches move only for sets that a pair names; half of them folded once are the 256 parities of a smaller set."""
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(5000)]
+    alone = [" ".join(rng.choices(words, k=300)) for _ in range(60)]
+    texts = [*alone, *(x + " more" for x in alone[:5])]
+    rows, write = {}, Scratch.write
+
+    def counted(self, df, name, *args, **kwargs):
+        out = write(self, df, name, *args, **kwargs)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    out = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(frame(spark, texts)).collect()}
+    assert out == {i: i if i < 60 else i - 60 for i in range(65)} and rows["star_wide"] == 10
+    h = np.unique(np.array([rng.getrandbits(64) for _ in range(100)], np.uint64))
+    wide = jaccard_join._wide(h)
+    assert (wide[:4] ^ wide[4:] == jaccard_join._sketch(h)).all()
+
+
 def test_jaccard_of_larger_sets(spark):
     """Sets on both sides of the wide sketches' least size, with partners near the threshold and in the next band."""
     rng = random.Random(12)
