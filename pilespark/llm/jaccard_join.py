@@ -296,7 +296,7 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
 
     def screened(near: DataFrame, name: str) -> DataFrame:
         """Pairs (u, v, ru, rv) without those of larger sets whose wide sketches are too far apart. Only sketches that a pair names are moved."""
-        near = scratch.write(near.distinct(), f"{name}_near")
+        near = scratch.write(near.distinct(), f"{name}_near", free=True)
         named = scratch.write(near.selectExpr("explode(array(struct(u AS cls, ru AS rep), struct(v AS cls, rv AS rep))) AS x").select("x.*").distinct(), f"{name}_named")
         few = scratch.write(wide.join(small(named), ["cls", "rep"], "left_semi"), f"{name}_wide")
         sketch = lambda p, q: few.select(F.col("cls").alias(q), F.col("rep").alias("r" + q), F.col("n").alias(p + "n"), F.col("wide").alias(p + "w"))
@@ -305,12 +305,12 @@ def link(docs: DataFrame, percent: int = 80, words: int = WORDS, id_column: str
 
     sized = lambda p, q: sets.select(*[F.col(c).alias(p + c) for c in sets.columns if c not in ("cls", "more")], F.col("cls").alias(q))
     star = met.selectExpr("first AS u", "cls AS v").distinct().join(sized("a", "u"), "u").join(sized("b", "v"), "v").where(may_link)
-    star = scratch.write(screened(star.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv")), "star"), "star")
+    star = scratch.write(screened(star.select("u", "v", F.col("arep").alias("ru"), F.col("brep").alias("rv")), "star"), "star", free=True)
     scratch.drop("star_near", "star_named", "star_wide")
     # A set meets a first set under each of its keys; comparing it with two of them mostly joins it to its group.
     first = lambda f: star.groupBy("v").agg(f(F.struct("u", "ru", "rv")).alias("x")).select("v", "x.u", "x.ru", "x.rv")
     once = scratch.write(first(F.min).union(first(F.max)).distinct(), "once")
-    linked = scratch.write(verified(once, "once"), "linked")
+    linked = scratch.write(verified(once, "once"), "linked", free=True)
     scratch.drop("once_sets")
     roots = components(scratch, linked)
     root_of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
