@@ -559,3 +559,38 @@ def test_lexicon_loses_no_term():
         for edits in (1, 2):
             found = lexicon.candidates(few, edits)
             assert [w in found and lexicon.within(w, edits, found[w]) for w in few] == [any(distance(w, t) <= edits for t in terms) for w in few]
+
+
+def test_pairs_of_longer_lines_made(spark, monkeypatch):
+    """Lines that end with one common passage: the near ones meet through one line, not in pairs, and the groups are those of brute force."""
+    rng = random.Random(47)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    passage = " ".join(word() for _ in range(30))
+    lines = [" ".join(word() for _ in range(rng.randint(15, 30))) + " " + passage for _ in range(6)]
+    lines += [" ".join([word(), word()][: 1 + i % 2]) + " " + passage for i in range(30)]
+    texts = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "h long, norm string, len int")
+    made, verified = [], line_dedup._verified
+
+    def counted(pairs, *args, **kwargs):
+        made.append(pairs.count())
+        return verified(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    got = {r["node"]: r["root"] for r in line_dedup.near_lines(texts, line_dedup.Scratch(spark, "made"), 0.9).collect()}
+    want = roots([(i, j) for i in range(len(lines)) for j in range(i) if 10 * edit_distance(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))], range(len(lines)))
+    assert all(got.get(i, i) == want[i] for i in range(len(lines))) and len({want[i] for i in range(6, 36)}) == 1
+    assert sum(made) < 3 * len(lines), made
+
+
+def test_long_texts_with_common_ends(spark):
+    """Texts are compared without what they begin and end with alike: same verdicts, also where one is the other's end or they are equal, and at once for long ones."""
+    ends = [("abc", "abc"), ("abcabc", "abc"), ("aaaa", "aa"), ("xabc", "yabc"), ("abcx", "abcy"), ("", "abc"), ("é中é", "é中中é"), ("abab", "baba")]
+    rows = spark.createDataFrame([(a, b, m) for a, b in ends for m in range(5)], "a string, b string, most int")
+    out = rows.selectExpr(f"{line_dedup._alike('most')} AS said", "levenshtein(a, b, most) >= 0 AS right").collect()
+    assert [r["said"] for r in out] == [r["right"] for r in out]
+    rng = random.Random(53)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    tail = letters(60_000)
+    began = time.time()
+    said = spark.createDataFrame([(letters(700) + tail, letters(700) + tail, 400)], "a string, b string, most int").selectExpr(line_dedup._alike("most")).first()[0]
+    assert not said and time.time() - began < 3
