@@ -59,6 +59,8 @@ class Encoder:
 
     def piece_ids(self, piece: str) -> list[int]:
         """ids of one piece, by the library's BPE model without its normaliser and pre-tokeniser."""
+        if piece.isascii() and piece.isprintable():  # of these bytes the alphabet changes the space alone
+            return [t.id for t in self.model.tokenize(piece.replace(" ", _ALPHABET[32]))]
         return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))]
 
     def ids(self, text: str) -> list[int]:

@@ -50,7 +50,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (ordered.mapInArrow(encode, TOKENS).write.mode("overwrite")
      .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.enable.dictionary", "true")
-     .option("compression", "zstd").parquet(path))
+     .option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -594,3 +594,14 @@ def test_long_texts_with_common_ends(spark):
     began = time.time()
     said = spark.createDataFrame([(letters(700) + tail, letters(700) + tail, 400)], "a string, b string, most int").selectExpr(line_dedup._alike("most")).first()[0]
     assert not said and time.time() - began < 3
+
+
+def test_ascii_pieces_without_the_alphabet():
+    """Pieces of printable ASCII have the ids that the byte alphabet gives them."""
+    from pilespark.llm.pretoken import byte_alphabet
+
+    alphabet = dict(enumerate(byte_alphabet()))
+    for path in (BYTE, WORD):
+        encoder = Encoder(tokenizer_content(path))
+        for piece in [*map(chr, range(128)), " the", "the", " !?", "don't", "\tx", "é", "x\x7f"]:
+            assert encoder.piece_ids(piece) == [t.id for t in encoder.model.tokenize(piece.encode().decode("latin-1").translate(alphabet))]
