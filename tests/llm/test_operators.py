@@ -561,6 +561,23 @@ def test_lexicon_loses_no_term():
             assert [w in found and lexicon.within(w, edits, found[w]) for w in few] == [any(distance(w, t) <= edits for t in terms) for w in few]
 
 
+def test_sampled_keys_are_made_once(spark, tmp_path):
+    """The keys of longer lines go through one exchange, which both the count of keys and the join read; those kept are the ones that lines of different groups have."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    passages = [" ".join(word() for _ in range(8)) for _ in range(4)]
+    lines = [" ".join([*(word() for _ in range(15)), rng.choice(passages), *(word() for _ in range(9))]) for _ in range(40)]
+    spark.createDataFrame([(i, i - i % 3, x, len(x)) for i, x in enumerate(lines)], "h long, root long, norm string, len int").write.parquet(f"{tmp_path}/texts")
+    keys = line_dedup._sampled_keys(spark.read.parquet(f"{tmp_path}/texts"), 0.9)
+    groups = {}
+    for r in keys.collect():
+        groups.setdefault(r["key"], set()).add(r["root"])
+    out = line_dedup._shared(keys).select("key", "h", "f")
+    assert {(r["key"], r["h"], r["f"]) for r in out.collect()} == {(r["key"], r["h"], r["f"]) for r in keys.collect() if len(groups[r["key"]]) > 1}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("Generate explode") == 1, plan
+
+
 def test_pairs_of_longer_lines_made(spark, monkeypatch):
     """Lines that end with one common passage: the near ones meet through one line, not in pairs, and the groups are those of brute force."""
     rng = random.Random(47)
