@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import struct
 import time
 import zlib
@@ -561,6 +562,20 @@ def test_lexicon_loses_no_term():
             assert [w in found and lexicon.within(w, edits, found[w]) for w in few] == [any(distance(w, t) <= edits for t in terms) for w in few]
 
 
+def test_written_tables_leave_no_shuffle(spark):
+    """The shuffle files of a written table go as the write ends, not when the driver happens to collect its garbage; the session's setting stays as it was."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {name for f in re.findall(r"[^/,() ]*shuffle_\d+_\d+_\d+\.data", files.getAllFiles().toString()) for name in [f]}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffles(), spark.conf.get(setting, None)
+    out = Scratch(spark, "left").write(spark.range(100_000).selectExpr("xxhash64(id) AS k", "id").repartition(3, "k"), "rows")
+    until = time.time() + 5
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert out.count() == 100_000 and spark.conf.get(setting, None) == was
+
+
 def test_sampled_keys_are_made_once(spark, tmp_path):
     """The keys of longer lines go through one exchange, which both the count of keys and the join read; those kept are the ones that lines of different groups have."""
     rng = random.Random(23)
