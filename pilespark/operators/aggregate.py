@@ -2,62 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import BASES, METRICS
+from ..schema import BASES, METRICS, PileupConfig
+from . import observe
+from .overlay import DOUBLES, WHOLE
 
-
-#: Columns of doubles; all other metrics are sums and counts of whole numbers, which are exact in any order.
-DOUBLES = ("pos_as_fraction", "mismatch_fraction", "q2_distance", "distance_to_3p_end")
-
-
-def _ordered_totals(rows: Column) -> Column:
-    """Sums of DOUBLES over a list of structs, added in file order, which no schedule changes; nulls add nothing."""
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in DOUBLES])
-    return F.aggregate(F.sort_array(rows), zero, lambda s, x: F.struct(*[(s[c] + F.coalesce(x[c], F.lit(0.0))).alias(c) for c in DOUBLES]))
-
-
-def per_base(obs: DataFrame, exact: bool = False) -> DataFrame:
+def per_base(reads: DataFrame, sites: DataFrame, config: PileupConfig) -> DataFrame:
     """Metrics for each (chrom, pos, base) that has observations."""
-    if exact:
-        return _exact(obs)
-    n = F.count("*")
-    total = {c: F.coalesce(F.sum(c), F.lit(0.0)) for c in DOUBLES}
-    values = _values(n, F.count("q2_distance"), total)
-    return obs.groupBy("chrom", "pos", "base").agg(*[values[m].alias(m) for m in METRICS])
-
-
-def _exact(obs: DataFrame) -> DataFrame:
-    """As per_base, with doubles added in file order: one list of a group's observations is gathered for all four sums."""
-    values = _values(F.count("*"), F.count("q2_distance"), dict.fromkeys(DOUBLES, F.lit(0.0)))
-    whole = [m for m in METRICS if m not in _MEANS]
-    listed = F.collect_list(F.struct("ord", "qpos", *DOUBLES)).alias("listed")
-    rows = obs.groupBy("chrom", "pos", "base").agg(*[values[m].alias(m) for m in whole], listed).withColumn("totals", _ordered_totals(F.col("listed")))
-    means = _values(F.col("count"), F.col("num_q2_containing_reads"), {c: F.col("totals")[c] for c in DOUBLES})
-    return rows.select("chrom", "pos", "base", *[means[m].alias(m) if m in _MEANS else F.col(m) for m in METRICS])
-
-
-_MEANS = ("avg_pos_as_fraction", "avg_num_mismatches_as_fraction", "avg_distance_to_q2_start_in_q2_reads", "avg_distance_to_effective_3p_end")
-
-
-def _values(n: Column, q2: Column, total: dict[str, Column]) -> dict[str, Column]:
-    """The metrics, given the number of observations and of those with a Q2 distance, and the sums of DOUBLES."""
-    return {
-        "count": n,
-        "avg_mapping_quality": F.sum("mapq") / n,
-        "avg_basequality": F.sum("base_qual") / n,
-        "avg_se_mapping_quality": F.coalesce(F.sum("se_mapq"), F.lit(0)) / n,
-        "num_plus_strand": F.count_if(~F.col("is_reverse")),
-        "num_minus_strand": F.count_if(F.col("is_reverse")),
-        "avg_pos_as_fraction": total["pos_as_fraction"] / n,
-        "avg_num_mismatches_as_fraction": total["mismatch_fraction"] / n,
-        "avg_sum_mismatch_qualities": F.sum("sum_mismatch_quals") / n,
-        "num_q2_containing_reads": q2,
-        "avg_distance_to_q2_start_in_q2_reads": F.when(q2 == 0, 0.0).otherwise(total["q2_distance"] / F.greatest(q2, F.lit(1))),
-        "avg_clipped_length": F.sum("clipped_len") / n,
-        "avg_distance_to_effective_3p_end": total["distance_to_3p_end"] / n,
+    parts = observe.sums(reads, sites, config)
+    t = parts.groupBy("chrom", "pos", "base").agg(*[F.sum(c).alias(c) for c in (*WHOLE, *DOUBLES)])
+    mean = lambda c: F.col(c) / F.col("n")
+    values = {
+        "count": F.col("n"),
+        "avg_mapping_quality": mean("mapq"),
+        "avg_basequality": mean("base_qual"),
+        "avg_se_mapping_quality": mean("se_mapq"),
+        "num_plus_strand": F.col("n") - F.col("minus"),
+        "num_minus_strand": F.col("minus"),
+        "avg_pos_as_fraction": mean("pos_as_fraction"),
+        "avg_num_mismatches_as_fraction": mean("mismatch_fraction"),
+        "avg_sum_mismatch_qualities": mean("sum_mismatch_quals"),
+        "num_q2_containing_reads": F.col("q2"),
+        "avg_distance_to_q2_start_in_q2_reads": F.when(F.col("q2") == 0, 0.0).otherwise(F.col("q2_distance") / F.greatest("q2", F.lit(1))),
+        "avg_clipped_length": mean("clipped_len"),
+        "avg_distance_to_effective_3p_end": mean("distance_to_3p_end"),
     }
+    return t.select("chrom", "pos", "base", *[values[m].alias(m) for m in METRICS])
 
 
 def wide(metrics: DataFrame) -> DataFrame:

@@ -1,16 +1,17 @@
-"""Reads to observations: filters, per-read columns and the join of aligned stretches with sites."""
+"""Reads to observations: filters, per-read columns and the join of reads with sites, which overlay.py ends in Arrow batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import kernel as K
 from ..schema import PileupConfig
+from . import overlay
+from .overlay import BIN, WORDS
 
-#: Positions of a bin. A site has one bin; a stretch has one for each that it touches.
-BIN = 1024
+#: Bins of sites up to which they are broadcast: about 100 bytes each.
+BROADCAST_BINS = 1_000_000
 
 
 def usable(reads: DataFrame, config: PileupConfig) -> DataFrame:
@@ -33,32 +34,40 @@ def scan(reads: DataFrame) -> DataFrame:
     )
 
 
-def _at_sites(scanned: DataFrame, sites: DataFrame, strategy: str) -> DataFrame:
-    """Rows of scanned with pos and qpos for each aligned base at a site; sites has distinct (chrom, pos)."""
-    stretches = scanned.withColumn("seg", F.explode("segs")).drop("segs")
-    sites = sites.select("chrom", "pos")
-    if strategy == "explode":
-        each = stretches.withColumn("pos", F.explode(F.expr("sequence(seg.ref0 + 1, seg.ref0 + seg.len)")))
-        found = each.join(sites, ["chrom", "pos"])
-    else:
-        binned = stretches.withColumn("bin", F.explode(F.expr(f"sequence(seg.ref0 div {BIN}, (seg.ref0 + seg.len - 1) div {BIN})")))
-        placed = sites.withColumn("bin", F.expr(f"(pos - 1) div {BIN}"))
-        found = binned.join(placed, ["chrom", "bin"]).where("seg.ref0 < pos AND pos <= seg.ref0 + seg.len").drop("bin")
-    return found.withColumn("qpos", (F.col("seg.q0") + F.col("pos") - 1 - F.col("seg.ref0")).cast("int")).drop("seg")
-
-
-def observations(reads: DataFrame, sites: DataFrame, config: PileupConfig) -> DataFrame:
-    """One row for each read and site that one of its bases is aligned to; deletions and skips give none."""
-    at = _at_sites(scan(usable(reads, config)), sites, config.strategy).withColumn("base_qual", F.element_at("qual", F.col("qpos") + 1))
-    if config.min_baseq:
-        at = at.where(F.col("base_qual") >= config.min_baseq)
+def over_bins(reads: DataFrame, sites: DataFrame, config: PileupConfig) -> DataFrame:
+    """Usable reads, once for each bin of positions that they span and that has sites, with the bin's sites as bits. Equal sites count once."""
+    rows = usable(reads, config).select("ord", "chrom", F.col("pos0").cast("long").alias("pos0"), "mapq", "flag", "cigar", "seq", "qual", "nm", "md", "sm")
+    span = F.expr("aggregate(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), 0L, (s, n) -> s + cast(n AS bigint))")
+    # No filter on the span, and no explode, which Spark would give one: pushed down, it has CIGAR texts made and read twice. A read without a span has no bin.
+    each = rows.withColumn("_span", span).withColumn("bin", F.explode_outer(F.expr(f"if(_span > 0, sequence(pos0 div {BIN}, (pos0 + _span - 1) div {BIN}), NULL)"))).drop("_span")
+    at = sites.where("pos > 0").select("chrom", F.expr(f"(pos - 1) div {BIN}").alias("bin"), F.expr(f"(pos - 1) % {BIN}").alias("_at"))
+    bits = at.groupBy("chrom", "bin").agg(*[F.expr(f"bit_or(if(_at div 64 = {i}, shiftleft(1L, cast(_at % 64 AS int)), 0L))").alias(w) for i, w in enumerate(WORDS)])
+    # Counted, not estimated: a list of many repeated sites looks large, and all reads would be exchanged for it.
+    few = bits.limit(BROADCAST_BINS + 1).count() <= BROADCAST_BINS
+    return each.join(F.broadcast(bits) if few else bits, ["chrom", "bin"])
+
+
+def records(reads: DataFrame, sites: DataFrame, config: PileupConfig) -> DataFrame:
+    """What each read has over sites, gathered by small bins of positions and sorted there in file order."""
+    rows = over_bins(reads, sites, config).mapInArrow(overlay.pack(config), overlay.RECORD_SCHEMA)
+    return rows.repartition("chrom", "small").sortWithinPartitions("chrom", "small", "ord", "record")
+
+
+def in_order(config: PileupConfig) -> bool:
+    """Whether results depend on the order of reads."""
+    return config.exact or config.max_depth < PileupConfig.max_depth
+
+
+def sums(reads: DataFrame, sites: DataFrame, config: PileupConfig) -> DataFrame:
+    """Counts and sums over observations, of which each (chrom, pos, base) may have several rows."""
+    if in_order(config):
+        return records(reads, sites, config).mapInArrow(overlay.ordered_sums(config), overlay.SUMS_SCHEMA)
+    return over_bins(reads, sites, config).mapInArrow(overlay.sums(config), overlay.SUMS_SCHEMA)
+
+
+def observations(reads: DataFrame, sites: DataFrame, config: PileupConfig, columns: tuple[str, ...] = tuple(overlay.ROW)) -> DataFrame:
+    """One row for each read and site that one of its bases is aligned to, with ``columns``; deletions and skips give none."""
+    schema = ", ".join(f"{c} {overlay.ROW[c]}" for c in columns)
     if config.max_depth < PileupConfig.max_depth:
-        first = F.row_number().over(Window.partitionBy("chrom", "pos").orderBy("ord", "qpos"))
-        at = at.withColumn("_n", first).where(F.col("_n") <= config.max_depth).drop("_n")
-    return at.select(
-        "chrom", "pos", K.base_label(F.substring("seq", F.col("qpos") + 1, F.lit(1))).alias("base"), "base_qual", "mapq", "se_mapq", "is_reverse",
-        K.pos_as_fraction(F.col("qpos"), F.col("left_clip"), F.col("clipped_length")).alias("pos_as_fraction"),
-        K.mismatch_fraction(F.col("nm"), F.col("clipped_length")).alias("mismatch_fraction"), "sum_mismatch_quals",
-        K.q2_distance(F.col("qpos"), F.col("q2_pos"), F.col("l_qseq")).alias("q2_distance"), F.col("clipped_length").alias("clipped_len"),
-        K.distance_to_3p_end(F.col("qpos"), F.col("three_prime_index"), F.col("l_qseq")).alias("distance_to_3p_end"), "ord", "qpos",
-    )
+        return records(reads, sites, config).mapInArrow(overlay.rows("records", config, list(columns)), schema)
+    return over_bins(reads, sites, config).mapInArrow(overlay.rows("reads", config, list(columns)), schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fmt
-from ..operators import aggregate, observe, reference, sites as S
+from ..operators import aggregate, reference, sites as S
 from ..schema import BASES, PileupConfig
 
 
@@ -14,7 +14,7 @@ def pileup(reads: DataFrame, sites: DataFrame, contigs: DataFrame, tiles: DataFr
     """One row per site of a known contig: chrom, pos, ref_base, depth and a metrics struct for each base, unordered."""
     wanted = S.known(sites, contigs)
     once = S.distinct(wanted)
-    found = aggregate.wide(aggregate.per_base(observe.observations(reads, once, config), config.exact))
+    found = aggregate.wide(aggregate.per_base(reads, once, config))
     if config.duplicates == "last":
         rows = S.counted(S.chunks(wanted)).select("chrom", "pos", "bed_line", "within_line", "counted")
     else:

@@ -37,7 +37,7 @@ class PileupConfig:
     max_depth: int = 10_000_000
     #: "distinct": one row for each site. "last": duplicates stay; within a chunk the last one gets the counts.
     duplicates: str = "distinct"
-    #: "bins": segments meet sites in bins of positions. "explode": every aligned base meets its position.
+    #: "bins" or "explode", as callers say it: both lay reads over the sites of a bin.
     strategy: str = "bins"
     #: Sums doubles in file order, so that results do not depend on how tasks were scheduled.
     exact: bool = False

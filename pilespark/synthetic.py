@@ -21,11 +21,14 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.selectExpr("*", "cast(h % a1 AS int) x1", "cast(a1 + h div 7 % a2 AS int) x2")
     middle = "CASE m WHEN 1 THEN a1 || 'M2I' || a2 || 'M' WHEN 2 THEN a1 || 'M3D' || a2 || 'M' WHEN 3 THEN a1 || 'M40N' || a2 || 'M' ELSE a || 'M' END"
     halves = "if(mm, x1 || 'A' || (a1 - 1 - x1), cast(a1 AS string)) || '^GGG' || if(mm, (x2 - a1) || 'C' || (a - 1 - x2), cast(a2 AS string))"
+    # Bases by (h + k * k) % 5 and qualities by (h + 3 * k * k) % 39 are cut out of as many constants.
+    letters = ["".join("ACGTN"[(r + k * k) % 5] for k in range(30)) for r in range(5)]
+    quals = f"get(array({', '.join('array(' + ', '.join(str(2 + (r + 3 * k * k) % 39) for k in range(30)) + ')' for r in range(39))}), cast(h % 39 AS int))"
     return d.selectExpr(
         "ord", "cast(ord AS string) qname", "cast(h % 2 * 16 + if(h % 13 = 0, 1024, 0) + if(h % 3 = 0, 2, 0) + if(h % 17 = 0, 2048, 0) AS int) flag", "'chr' || (1 + h % 3) chrom", "h * 31 % 2000 pos0",
         "cast(h % 61 AS int) mapq", f"if(lc > 0, lc || 'S', '') || {middle} || if(rc > 0, rc || 'S', '') AS cigar",
-        "array_join(transform(sequence(0, l - 1), k -> substring('ACGTN', cast(1 + (h + k * k) % 5 AS int), 1)), '') AS seq",
-        "transform(sequence(0, l - 1), k -> cast(CASE WHEN h % 7 = 0 AND k >= l - 3 THEN 2 WHEN h % 7 = 1 AND k < 3 THEN 2 ELSE 2 + (h + 3 * k * k) % 39 END AS int)) AS qual",
+        f"substring(get(array({', '.join(map(repr, letters))}), cast(h % 5 AS int)), 1, l) AS seq",
+        f"CASE h % 7 WHEN 0 THEN concat(slice({quals}, 1, l - 3), array(2, 2, 2)) WHEN 1 THEN concat(array(2, 2, 2), slice({quals}, 4, l - 3)) ELSE slice({quals}, 1, l) END AS qual",
         "CASE WHEN h % 11 <> 0 THEN cast(if(mm, 2, 0) + CASE m WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS bigint) END AS nm",
         f"CASE WHEN h % 19 = 0 THEN NULL WHEN m = 2 THEN {halves} WHEN mm THEN x1 || 'A' || (x2 - x1 - 1) || 'C' || (a - 1 - x2) ELSE cast(a AS string) END AS md",
         "CASE WHEN h % 4 <> 1 THEN cast(h % 300 AS int) END AS sm",
