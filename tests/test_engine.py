@@ -1,3 +1,5 @@
+import random
+import re
 import struct
 import zlib
 
@@ -14,7 +16,7 @@ from pilespark.operators import observe
 from pilespark.operators import sites as S
 from pilespark.plans import parity, timing
 from pilespark.plans.pileup import lines, pileup
-from pilespark.schema import CONTIG, READ, TILE, PileupConfig
+from pilespark.schema import CONTIG, READ, SITE, TILE, PileupConfig
 from pilespark.queries import ORACLE, QUERIES
 from pilespark.sources import bed, tables
 from pilespark.sources.tables import sources
@@ -234,3 +236,19 @@ def test_plan_has_no_cartesian_product(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gap", [50_000, 200_000, 3])
+def test_chunks_by_spans(spark, gap):
+    """Islands and chunks are those of one pass over each contig, and no window holds a contig's sites."""
+    draw = random.Random(1)
+    rows = [(f"c{draw.randrange(3)}", draw.choice([draw.randrange(40), draw.randrange(60_000, 70_000), 65_536 * draw.randrange(40)]), i, draw.randrange(2)) for i in range(3000)]
+    want, last, state = {}, {}, {}
+    for r in sorted(rows):
+        island, n = state.get(r[0], (0, -1))
+        island, n = (island + 1, 0) if r[0] in last and r[1] - last[r[0]] > gap else (island, n + 1)
+        state[r[0]], last[r[0]], want[r] = (island, n), r[1], (island, n // 20)
+    got = S.chunks(spark.createDataFrame(rows, SITE), 20, gap)
+    assert {tuple(r)[:4]: tuple(r)[4:] for r in got.collect()} == want
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "bed_line" in x]
+    assert windows and all(re.search(r"\[chrom#\d+, pos#\d+L?\], \[bed_line", x) for x in windows)
