@@ -148,12 +148,14 @@ def _unpacked(batches: Iterable[pa.RecordBatch], config: PileupConfig) -> Iterat
             before = np.zeros(len(bins) * SMALL, np.int64)
             if bins[0] == last:
                 before[:SMALL] = seen
+            keep = np.flatnonzero(before[site] < config.max_depth)
+            site = site[keep].astype(np.uint16 if len(before) <= 1 << 16 else np.int64)  # two bytes are sorted by radix
             order = np.argsort(site, kind="stable")
-            first = np.searchsorted(site[order], np.arange(len(before)))
+            first = np.searchsorted(site[order], np.arange(len(before), dtype=site.dtype))
             rank = np.empty(len(site), np.int64)
             rank[order] = np.arange(len(site)) - first[site[order]]
-            keep = np.flatnonzero(rank + before[site] < config.max_depth)
             last, seen = bins[-1], (before + np.bincount(site, minlength=len(before)))[-SMALL:]
+            keep = keep[rank + before[site] < config.max_depth]
             obs = {k: v[keep] for k, v in obs.items()}
         yield reads, obs, which, bins, SMALL
 

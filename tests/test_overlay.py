@@ -83,3 +83,17 @@ def test_metrics_add_up_before_they_move(spark, config):
     plan = aggregate.per_base(X.reads(spark, d), sites, config)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "MapInArrow" in plan
     assert observe.sums(X.reads(spark, d), sites, PileupConfig()).count() <= 5 * 8
+
+
+@pytest.mark.parametrize("config", [PileupConfig(), PileupConfig(max_depth=3), PileupConfig(exact=True)])
+def test_batches_of_a_few_rows(spark, config):
+    """Sums, open bins and the depth cap go on from one batch to the next."""
+    reads = spark.createDataFrame(list(_reads(300, False)), READ)
+    sites = spark.range(1, 2000).selectExpr("explode(array('c1', 'c2')) AS chrom", "id AS pos")
+    run = lambda: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in aggregate.per_base(reads, sites, config).collect())
+    whole = run()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert run() == whole and whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
